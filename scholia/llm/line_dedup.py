@@ -42,9 +42,9 @@ def dropped_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Da
     hot = scratch(counts.where(F.col("n") > max(total // HOT_SHARE, 1000)).select("h1", "h2"), "hot")
     # ordinary hashes: sorted ranges; nothing of a hash is held in memory but its running ranks
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ranged = keys.join(F.broadcast(hot), ["h1", "h2"], "left_anti").repartitionByRange(parts, "h1", "h2")
-    down = Window.partitionBy("h1", "h2").orderBy(F.desc("doc_id"), "pos")
-    up = Window.partitionBy("h1", "h2").orderBy("doc_id", F.desc("pos"))
+    ranged = keys.join(F.broadcast(hot), ["h1", "h2"], "left_anti").repartitionByRange(parts, "h1", "h2").sortWithinPartitions("h1", "h2", F.desc("doc_id"), "pos")
+    down = Window.partitionBy("h1", "h2").orderBy(F.desc("doc_id"))
+    up = Window.partitionBy("h1", "h2").orderBy("doc_id")
     ranks = ranged.select("*", F.dense_rank().over(down).alias("d")).select("*", F.dense_rank().over(up).alias("u"))
     cold = ranks.where((F.col("d") > 1) & (F.col("d") + F.col("u") - 1 >= min_docs))
     # hot hashes: one row a document, then the largest document and the number of them, both map-side first
@@ -69,7 +69,6 @@ def _applied(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     rows = docs.select(F.struct("*").alias("_row"), *_row_key()).select(F.col("_row"), F.col("doc_id").alias("_id"), F.col("row").alias("_hash"))
     joined = rows.join(bitmaps.select(F.col("doc_id").alias("_id"), F.col("row").alias("_hash"), F.map_from_entries("dropped").alias("_map")), ["_id", "_hash"], "left")
     lines = F.split(F.coalesce(F.col("_row.text"), F.lit("")), "\n", -1)
-    goes = lambda i: F.coalesce(F.expr("element_at(_map, shiftright(i, 6))"), F.lit(0))  # noqa: E731, F841
     kept = F.expr("filter(_lines, (line, i) -> (coalesce(_map[shiftright(i, 6)], 0L) & shiftleft(1L, i & 63)) = 0)")
     return joined.withColumn("_lines", lines).withColumn("_kept", F.when(F.col("_map").isNull(), F.col("_lines")).otherwise(kept))
 
