@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm import language_id, line_dedup, mixing, packing, quality, url_filter
+from scholia.llm import html_extract, language_id, line_dedup, mixing, packing, quality, topk, url_filter
 from scholia.llm.common import table
 
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -43,17 +43,28 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(docs, line_dedup.keep_bitmaps(docs))
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), RULES)
 
 
+def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.scaled(table(spark, sf_dir, "embeddings"))
+    return topk.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 QUERIES = {
     "op2_packing": op2_packing,
     "op3_language_id": op3_language_id,
     "op4_quality_rules": op4_quality_rules,
     "op5_mixing": op5_mixing,
     "op7_line_dedup": op7_line_dedup,
+    "op8_html_extract": op8_html_extract,
     "op9_url_filter": op9_url_filter,
+    "op10_topk_search": op10_topk_search,
 }
 
 ORACLES = {
@@ -61,4 +72,5 @@ ORACLES = {
     "op5_mixing": mixing.MIX_SQL,
     "op7_line_dedup": line_dedup.DIGEST_SQL,
     "op9_url_filter": url_filter.judge_sql(RULES),
+    "op10_topk_search": topk.TOPK_SQL,
 }
