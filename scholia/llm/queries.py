@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm import html_extract, language_id, line_dedup, mixing, packing, quality, topk, url_filter
+from scholia.llm import html_extract, jaccard_join, language_id, line_dedup, mixing, packing, quality, topk, url_filter
 from scholia.llm.common import table
 
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -38,6 +38,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_table(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_groups(table(spark, sf_dir, "documents"), n_words=4, num=85, den=100)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return line_dedup.digest(docs, line_dedup.keep_bitmaps(docs))
@@ -61,6 +65,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_quality_rules": op4_quality_rules,
     "op5_mixing": op5_mixing,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_line_dedup": op7_line_dedup,
     "op8_html_extract": op8_html_extract,
     "op9_url_filter": op9_url_filter,
@@ -70,6 +75,7 @@ QUERIES = {
 ORACLES = {
     "op4_quality_rules": quality.QUALITY_SQL,
     "op5_mixing": mixing.MIX_SQL,
+    "op6_ngram_jaccard": jaccard_join.GROUPS_SQL,
     "op7_line_dedup": line_dedup.DIGEST_SQL,
     "op9_url_filter": url_filter.judge_sql(RULES),
     "op10_topk_search": topk.TOPK_SQL,
