@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm import html_extract, jaccard_join, language_id, line_dedup, mixing, packing, quality, topk, url_filter
+from scholia.llm import html_extract, jaccard_join, language_id, line_dedup, lm_score, mixing, packing, quality, topk, url_filter
 from scholia.llm.common import table
 
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -18,6 +18,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()))
 
@@ -61,6 +65,7 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_score": op1_lm_score,
     "op2_packing": op2_packing,
     "op3_language_id": op3_language_id,
     "op4_quality_rules": op4_quality_rules,
