@@ -1,0 +1,6 @@
+"""Schemas of the data model: one record table and the tables derived from it."""
+
+DOCUMENTS = "doc_id long, title string, authors array<string>, journal string, year int, doc_length int, volume string, month string, cdrom string, ee string, url string"
+DOC_AUTHORS = "doc_id long, pos int, author_raw string, author_key string"
+POSTINGS = "term string, doc_id long, tf int"
+EDGES = "src string, dst string"
