@@ -60,6 +60,7 @@ class Index:
     postings: DataFrame
     lexicon: DataFrame
     authors: DataFrame | None = None
+    stored: bool = False
 
     def corpus(self) -> tuple[int, float]:
         """(documents, average length), empty titles included."""
@@ -100,4 +101,4 @@ def load_index(spark: SparkSession, path: str, fingerprint: str | None = None) -
         return None
     d = spark.read.parquet(f"{path}/documents")
     authors = spark.read.parquet(f"{path}/authors") if manifest["authors"] else None
-    return Index(d.withColumn("tokens", F.filter(F.split("title_key", " "), lambda t: t != "")), spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lexicon"), authors)
+    return Index(d.withColumn("tokens", F.filter(F.split("title_key", " "), lambda t: t != "")), spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lexicon"), authors, stored=True)

@@ -15,6 +15,8 @@ from scholia.plans.search_plan import SearchPlan, is_query_stopword, parse_searc
 
 K1, B = 1.2, 0.75
 STOPWORD_WEIGHT, PHRASE_GAIN = 0.35, 0.85
+#: Up to so many terms a raw corpus is scored by a scan.
+FEW_TERMS = 32
 #: The bounded phrase path re-ranks this many times the page, within these limits.
 RERANK, RERANK_LEAST, RERANK_MOST = 16, 256, 4096
 
@@ -41,8 +43,26 @@ def term_score(df: Column, tf: Column, length: Column, n: int, avg: float) -> Co
     return idf(df, n) * df_penalty(df / F.lit(float(n))) * tf * (K1 + 1) / (tf + norm)
 
 
-def expand(index: Index, plan: SearchPlan, profile: Profile) -> list[tuple[str, float]] | None:
-    """(term, boost) to score by; None: no result can exist."""
+@dataclass
+class Facts:
+    """Of a corpus: documents, average length, and how many documents hold each known term."""
+
+    n: int
+    avg: float
+    df: dict[str, int]
+
+
+def facts_of(index: Index, terms: list[str]) -> Facts:
+    """From a stored index by lookup; from a raw corpus in one scan without a shuffle, where the terms are few."""
+    if index.stored or len(terms) > FEW_TERMS:
+        n, avg = index.corpus()
+        return Facts(n, avg, {r["term"]: r["df"] for r in index.lexicon.where(F.col("term").isin(terms)).collect()})
+    r = index.documents.agg(F.count("*").alias("n"), F.avg("doc_length").alias("a"), *[F.count_if(F.array_contains("tokens", t)).alias(f"t{i}") for i, t in enumerate(terms)]).first()
+    return Facts(r["n"], r["a"] or 0.0, {t: r[f"t{i}"] for i, t in enumerate(terms) if r[f"t{i}"]})
+
+
+def expand(index: Index, plan: SearchPlan, profile: Profile) -> tuple[list[tuple[str, float]], Facts] | None:
+    """(term, boost) to score by, and the corpus; None: no result can exist."""
     terms = list(plan.terms)
     wanted = [F.col("term").startswith(p) for p in plan.prefixes] + [F.col("term").contains(s) for s in plan.substrings]
     if wanted:
@@ -57,11 +77,11 @@ def expand(index: Index, plan: SearchPlan, profile: Profile) -> list[tuple[str,
     if not kept:
         profile.path = "invalid_query"
         return None
-    there = {r["term"] for r in index.lexicon.where(F.col("term").isin(kept)).select("term").collect()}
+    facts = facts_of(index, kept)
     scoring: dict[str, float] = {}
     rewrites = 0
     for t in kept:
-        if t in there:
+        if t in facts.df:
             scoring[t] = 1.0
             continue
         size = len(t.encode())
@@ -78,30 +98,46 @@ def expand(index: Index, plan: SearchPlan, profile: Profile) -> list[tuple[str,
         most = 1 if plan.mode == "and" else min(3, plan.expansions) if size <= 5 else plan.expansions
         for r in near[:most]:
             scoring[r["term"]] = max(scoring.get(r["term"], 0.0), r["boost"])
+            facts.df[r["term"]] = r["df"]
     profile.counters |= {"scoring_terms": len(scoring), "fuzzy_rewrites": rewrites}
     if not scoring:
         profile.path = "no_hits"
         return None
-    return list(scoring.items())
+    return list(scoring.items()), facts
+
+
+def _is(term: str):
+    return lambda x: x == term
 
 
-def scored(index: Index, scoring: list[tuple[str, float]], mode: str, n: int, avg: float) -> DataFrame:
+def scored(index: Index, scoring: list[tuple[str, float]], mode: str, corpus: Facts) -> DataFrame:
     """doc_id, score, matched, title, journal, year, title_key of every hit.
 
     Scores are rounded to 9 places, so that documents with equal texts tie whatever the order of addition.
     """
-    rows = [(term, boost * (STOPWORD_WEIGHT if is_query_stopword(term) else 1.0)) for term, boost in scoring]
-    weights = index.documents.sparkSession.createDataFrame(rows, "term string, weight double")
-    hits = index.postings.where(F.col("term").isin([t for t, _ in scoring]))
-    df = hits.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(weights), "term")
-    facts = index.documents.select("doc_id", "title", "journal", "year", "doc_length", "title_key")
-    # df and weights have a row for each query term: their size is the query's
-    parts = hits.join(F.broadcast(df), "term").join(facts.select("doc_id", "doc_length"), "doc_id")
+    n, avg = corpus.n, corpus.avg
+    rows = [(term, corpus.df[term], boost * (STOPWORD_WEIGHT if is_query_stopword(term) else 1.0)) for term, boost in scoring]
+    facts = index.documents.select("doc_id", "title", "journal", "year", "doc_length", "title_key", "tokens")
+    if not index.stored and len(rows) <= FEW_TERMS:
+        # a scan: each document scores itself
+        held = facts.where(F.arrays_overlap("tokens", F.array(*[F.lit(t) for t, *_ in rows])))
+        held = held.withColumns({f"_tf{i}": F.size(F.filter("tokens", _is(t))) for i, (t, *_) in enumerate(rows)})
+        score, matched = F.lit(0.0), F.lit(0).cast("long")
+        for i, (_, df, weight) in enumerate(rows):
+            score = score + term_score(F.lit(df), F.col(f"_tf{i}"), F.col("doc_length"), n, avg) * weight
+            matched = matched + (F.col(f"_tf{i}") > 0).cast("long")
+        by_doc = held.withColumns({"score": F.round(score, 9), "matched": matched})
+        out = by_doc.select("doc_id", "title", "journal", "year", "title_key", "score", "matched")
+        return out.where(F.col("matched") == len(rows)) if mode == "and" else out
+    # weights has a row for each query term: its size is the query's
+    weights = F.broadcast(index.documents.sparkSession.createDataFrame(rows, "term string, df long, weight double"))
+    hits = index.postings.where(F.col("term").isin([t for t, *_ in rows])).join(weights, "term")
+    parts = hits.join(facts.select("doc_id", "doc_length"), "doc_id")
     part = term_score(F.col("df"), F.col("tf"), F.col("doc_length"), n, avg) * F.col("weight")
     by_doc = parts.groupBy("doc_id").agg(F.round(F.sum(part), 9).alias("score"), F.count("*").alias("matched"))
     if mode == "and":
-        by_doc = by_doc.where(F.col("matched") == len(scoring))
-    return by_doc.join(facts.drop("doc_length"), "doc_id")
+        by_doc = by_doc.where(F.col("matched") == len(rows))
+    return by_doc.join(facts.drop("doc_length", "tokens"), "doc_id")
 
 
 def phrase_gain(phrases: list[list[str]], padded: Column) -> Column:
@@ -117,13 +153,13 @@ def search(index: Index, query: str | SearchPlan) -> tuple[DataFrame, Profile]:
     plan = parse_search(query) if isinstance(query, str) else query
     profile.timers["parse"] = (time.perf_counter() - start) * 1000
     start = time.perf_counter()
-    scoring = expand(index, plan, profile)
+    found = expand(index, plan, profile)
     profile.timers["rewrite"] = (time.perf_counter() - start) * 1000
     spark = index.documents.sparkSession
-    if scoring is None:
+    if found is None:
         return spark.createDataFrame([], "rank long, doc_id long, score double, year int, title string, journal string, matched long"), profile
-    n, avg = index.corpus()
-    hits = scored(index, scoring, plan.mode, n, avg)
+    scoring, facts = found
+    hits = scored(index, scoring, plan.mode, facts)
     bounded = plan.mode == "or" and plan.sort == "relevance" and bool(plan.page or plan.size or plan.limit)
     padded = F.concat(F.lit(" "), F.col("title_key"), F.lit(" "))
     first = [F.desc("score")]
@@ -153,8 +189,9 @@ def search(index: Index, query: str | SearchPlan) -> tuple[DataFrame, Profile]:
 def total_hits(index: Index, query: str) -> DataFrame:
     """total_hits of a query, without ranking."""
     plan, profile = parse_search(query), Profile()
-    scoring = expand(index, plan, profile)
-    if scoring is None:
+    found = expand(index, plan, profile)
+    if found is None:
         return index.documents.sparkSession.createDataFrame([(0,)], "total_hits long")
+    scoring = found[0]
     hits = index.postings.where(F.col("term").isin([t for t, _ in scoring])).groupBy("doc_id").agg(F.count("*").alias("m"))
     return hits.where(F.col("m") >= (len(scoring) if plan.mode == "and" else 1)).agg(F.count("*").alias("total_hits"))
