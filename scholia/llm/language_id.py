@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 UNDETERMINED = "und"
 HIDDEN, WIDTH = 12, 64
-#: Bounds of the training sample: documents a language, documents in all, windows a document.
-DOCS_A_LANGUAGE, DOCS_IN_ALL, WINDOWS_A_DOC = 1500, 30_000, 2
+#: Bounds of the training sample: documents a language, documents in all, windows a document (more where documents are few).
+DOCS_A_LANGUAGE, DOCS_IN_ALL, WINDOWS_A_DOC = 1500, 30_000, (2, 16)
+#: Steps of gradient descent, and windows in each.
+STEPS, BATCH = 450, 96
 ROWS_AT_ONCE, BYTES_AT_ONCE = 2048, 2_000_000
 PREDICTION = "lang_pred string, score double, positions array<long>"
 
@@ -138,7 +140,7 @@ def _windows(texts: list[bytes]):
         yield a, rows[part], np.arange(WIDTH) < used[part, None], owner[part]
 
 
-def train(samples: list[tuple[str, str]], epochs: int = 6, batch: int = 96, rate: float = 0.02, seed: int = 7) -> Model | None:
+def train(samples: list[tuple[str, str]], steps: int = STEPS, batch: int = BATCH, rate: float = 0.02, seed: int = 7) -> Model | None:
     """samples: (lang, text window); Adam over windows in seeded order. None: nothing to learn from."""
     samples = sorted((lang, t.encode()[:WIDTH]) for lang, t in samples if lang is not None and t)
     if not samples:
@@ -151,21 +153,18 @@ def train(samples: list[tuple[str, str]], epochs: int = 6, batch: int = 96, rate
     # every language weighs alike: rare ones are shown as often as frequent ones
     share = 1 / np.bincount(labels)[labels]
     share /= share.sum()
-    n = -(-len(samples) // batch)
-    state, k = {}, 0
-    for e in range(epochs):
-        for _ in range(n):
-            pick = rng.choice(len(samples), batch, p=share)
-            k += 1
-            lr = rate * (1 - 0.9 * k / (epochs * n)) * np.sqrt(1 - 0.999**k) / (1 - 0.9**k)
-            for params, grads in model.step(rows[pick], labels[pick], mask[pick]):
-                norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-                for name, g in grads.items():
-                    g = g * min(1.0, 1.0 / (norm + 1e-9))
-                    m, v = state.setdefault((id(params), name), [np.zeros_like(g), np.zeros_like(g)])
-                    m += 0.1 * (g - m)
-                    v += 0.001 * (g * g - v)
-                    params[name] -= (lr * m / (np.sqrt(v) + 1e-8)).astype(np.float32)
+    state = {}
+    for k in range(1, steps + 1):
+        pick = rng.choice(len(samples), batch, p=share)
+        lr = rate * (1 - 0.9 * k / steps) * np.sqrt(1 - 0.999**k) / (1 - 0.9**k)
+        for params, grads in model.step(rows[pick], labels[pick], mask[pick]):
+            norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
+            for name, g in grads.items():
+                g = g * min(1.0, 1.0 / (norm + 1e-9))
+                m, v = state.setdefault((id(params), name), [np.zeros_like(g), np.zeros_like(g)])
+                m += 0.1 * (g - m)
+                v += 0.001 * (g * g - v)
+                params[name] -= (lr * m / (np.sqrt(v) + 1e-8)).astype(np.float32)
     return model
 
 
@@ -177,7 +176,7 @@ def held_out(doc_id: Column) -> Column:
 def sample(docs: DataFrame) -> list[tuple[str, str]]:
     """(lang, window) pairs from rows that are not held out: at most DOCS_IN_ALL documents, an equal quota for each language.
 
-    Rows are chosen by hash below a threshold that their language's count gives; two windows of each
+    Rows are chosen by hash below a threshold that their language's count gives; 2 to 16 windows of each
     document are taken at hashed positions, so no more than that is sent to the driver.
     """
     rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
@@ -187,8 +186,10 @@ def sample(docs: DataFrame) -> list[tuple[str, str]]:
     quota = max(1, min(DOCS_A_LANGUAGE, DOCS_IN_ALL // len(counts)))
     bars = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, quota / n) * 1_000_000))])
     chosen = rows.where((F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.element_at(bars, F.col("lang"))) & F.col("text").rlike(r"\p{L}"))
+    least, most = WINDOWS_A_DOC
+    each = max(least, min(most, 2 * DOCS_A_LANGUAGE * len(counts) // max(1, sum(counts.values()))))
     at = lambda k: F.substring(F.col("text"), (F.pmod(F.xxhash64("doc_id", F.lit(k)), F.greatest(F.length("text") - WIDTH + 1, F.lit(1))) + 1).cast("int"), F.lit(WIDTH))
-    got = chosen.select("lang", F.array(*[at(k) for k in range(WINDOWS_A_DOC)]).alias("w")).limit(2 * DOCS_IN_ALL).collect()
+    got = chosen.select("lang", F.array(*[at(k) for k in range(each)]).alias("w")).limit(2 * DOCS_IN_ALL).collect()
     return [(r["lang"], w) for r in got for w in r["w"]]
 
 
