@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from scholia.functions.text import df_penalty, norm_key, tokens, trigrams
 from scholia.operators import fuzzy, graph, hot_words, lookup, search, stats
 from scholia.operators import index as ix
+from scholia.shared import shared_dir
 from scholia.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -422,9 +422,8 @@ XML = """<?xml version="1.0"?><!DOCTYPE d SYSTEM "d.dtd"><d>
 def xml_scan(spark, sf_dir):
     from scholia.sources.bibliography import read_bibliography
 
-    path = os.path.join(tempfile.mkdtemp(prefix="scholia-xml-"), "sample.xml")
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(XML)
+    path = f"{shared_dir(spark)}/scholia-{spark.sparkContext.applicationId}/xml-{uuid.uuid4().hex}"
+    spark.createDataFrame([(XML,)], "value string").coalesce(1).write.text(path)
     return read_bibliography(spark, path, 97).select("doc_id", "title", F.array_join("authors", "| ").alias("authors"), "journal", "year", "doc_length", "ee")
 
 
