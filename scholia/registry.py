@@ -240,9 +240,6 @@ def bm25_total_hits(spark, sf_dir):
 
 # fuzzy ----------------------------------------------------------------------------------------------
 
-GRAMS = "list_sort(list_distinct(list_transform(range(1, greatest(len({0}) - 1, 1)), lambda i: substr({0}, i::bigint, 3))))"
-
-
 def fuzzy_sql(lexicon: str, key: str, weight: str, typo: str, edits: int, r: fuzzy.FuzzyRules) -> str:
     """(key, boost, dist) of the candidates; the lexicon's keys are read as ASCII or as Latin-1 bytes."""
     grams = sorted({typo[i : i + 3] for i in range(len(typo) - 2)})
@@ -262,10 +259,11 @@ fb as (select key, w, dist, case dist when 0 then 1.0 when 1 then 0.72 else 0.45
 fz as (select key, w, dist, boost from fb order by boost desc, key limit {r.keep})"""
 
 
-@query(f"with {TOK}, x as (select term, {GRAMS.format('term')} as gs from lex where regexp_full_match(term, '[ -~]+') and strlen(term) >= 3) select gram, count(*)::bigint as terms from (select unnest(gs) as gram from x) group by 1")
+@query(f"with {TOK}, x as (select term, hex(encode(term)) as h from lex where strlen(term) >= 3), y as (select term, list_distinct(list_transform(range(1, strlen(term) - 1), lambda i: substr(h, 2 * i - 1, 6))) as gs from x) select gram, count(*)::bigint as terms from (select unnest(gs) as gram from y) group by 1")
 def trigram_counts(spark, sf_dir):
-    lex = ix.document_frequencies(ix.term_frequencies(_docs(spark, sf_dir))).where(F.col("term").rlike("^[ -~]+$") & (F.octet_length("term") >= 3))
-    return ix.trigram_table(lex, "term").groupBy("gram").agg(F.count("*").alias("terms"))
+    lex = ix.document_frequencies(ix.term_frequencies(_docs(spark, sf_dir)))
+    counts = ix.trigram_table(lex, "term").groupBy("gram").agg(F.count("*").alias("terms"))
+    return counts.select(F.hex(F.encode("gram", "ISO-8859-1")).alias("gram"), "terms")
 
 
 TYPO = "theation"
@@ -337,13 +335,10 @@ def alias_canonical(spark, sf_dir):
 
 # the graph ------------------------------------------------------------------------------------------
 
-YEAR = 1996
 PARTS = "pa as (select distinct l_orderkey as doc_id, l_partkey::varchar as k from lineitem)"
-PARTS_YEAR = f"pa as (select distinct l_orderkey as doc_id, l_partkey::varchar as k from lineitem join orders on l_orderkey = o_orderkey where year(o_orderdate) = {YEAR})"
 EDGES = "e as materialized (select distinct a.k as src, b.k as dst from pa a join pa b on a.doc_id = b.doc_id and a.k < b.k)"
 CLIQUES = """k1 as (select distinct src as a from (select src from e union all select dst from e)),
-k3 as materialized (select x.src as a, x.dst as b, y.dst as c from e x join e y on x.dst = y.src join e z on z.src = x.src and z.dst = y.dst),
-k4 as materialized (select k3.*, x.dst as d from k3 join e x on x.src = c join e y on y.src = a and y.dst = x.dst join e z on z.src = b and z.dst = x.dst)"""
+k3 as materialized (select x.src as a, x.dst as b, y.dst as c from e x join e y on x.dst = y.src join e z on z.src = x.src and z.dst = y.dst)"""
 
 
 @query(f"with {PARTS}, {EDGES} select src, dst from e")
@@ -363,28 +358,28 @@ def graph_stats(spark, sf_dir):
     return graph.graph_stats(authors, graph.edges(authors))
 
 
-@query(f"""with {PARTS_YEAR}, {EDGES}, {CLIQUES}
-select 1 as k, count(*)::bigint as cliques from k1 union all select 2, count(*) from e union all select 3, count(*) from k3 union all select 4, count(*) from k4""")
+@query(f"""with {PARTS}, {EDGES}, {CLIQUES}
+select 1 as k, count(*)::bigint as cliques from k1 union all select 2, count(*) from e union all select 3, count(*) from k3""")
 def clique_counts(spark, sf_dir):
-    counted = graph.clique_counts(graph.edges(tables.part_authors(spark, sf_dir, YEAR)), 4)
+    counted = graph.clique_counts(graph.edges(tables.part_authors(spark, sf_dir)), 3)
     return counted.select("k", F.col("cliques").cast("long").alias("cliques"))
 
 
 @query()
-def clique_counts_full(spark, sf_dir):
+def clique_counts_deep(spark, sf_dir):
     return graph.clique_counts(graph.edges(tables.part_authors(spark, sf_dir)), 4)
 
 
-@query(f"""with {PARTS_YEAR}, {EDGES}, {CLIQUES},
-m as (select a as author_key, 1 as k from k1 union all select unnest([src, dst]), 2 from e union all select unnest([a, b, c]), 3 from k3 union all select unnest([a, b, c, d]), 4 from k4)
+@query(f"""with {PARTS}, {EDGES}, {CLIQUES},
+m as (select a as author_key, 1 as k from k1 union all select unnest([src, dst]), 2 from e union all select unnest([a, b, c]), 3 from k3)
 select author_key, k, count(*)::bigint as cliques from m group by all""")
 def clique_participation(spark, sf_dir):
-    counted = graph.clique_participation(graph.edges(tables.part_authors(spark, sf_dir, YEAR)), 4)
+    counted = graph.clique_participation(graph.edges(tables.part_authors(spark, sf_dir)), 3)
     return counted.select("author_key", "k", F.col("cliques").cast("long").alias("cliques"))
 
 
 def _core_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.edges(tables.part_authors(spark, sf_dir, YEAR))
+    return graph.edges(tables.part_authors(spark, sf_dir))
 
 
 @query()
@@ -397,7 +392,7 @@ def degeneracy(spark, sf_dir):
     return graph.degeneracy(_core_graph(spark, sf_dir))
 
 
-@query(f"""with {PARTS_YEAR}, {EDGES}, d as (select k, count(*) as n from (select src as k from e union all select dst from e) group by 1)
+@query(f"""with {PARTS}, {EDGES}, d as (select k, count(*) as n from (select src as k from e union all select dst from e) group by 1)
 select case when (x.n, src) < (y.n, dst) then src else dst end as lo, case when (x.n, src) < (y.n, dst) then dst else src end as hi from e join d x on x.k = src join d y on y.k = dst""")
 def orientation(spark, sf_dir):
     return graph.orientation(_core_graph(spark, sf_dir))

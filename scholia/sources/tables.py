@@ -35,10 +35,6 @@ def supplier_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(names, "l_suppkey").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("pos"), "author_raw", norm_key(F.col("author_raw")).alias("author_key"))
 
 
-def part_authors(spark: SparkSession, sf_dir: str, year: int | None = None) -> DataFrame:
-    """doc_authors: the part of each line as an author of its order; of one year's orders, or of all."""
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("pos"), F.col("l_partkey").cast("string").alias("author_key"))
-    if year is None:
-        return lines
-    orders = table(spark, sf_dir, "orders").where(F.year("o_orderdate") == year).select(F.col("o_orderkey").alias("doc_id"))
-    return lines.join(orders, "doc_id", "left_semi")
+def part_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_authors: the part of each line as an author of its order."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("pos"), F.col("l_partkey").cast("string").alias("author_key"))
