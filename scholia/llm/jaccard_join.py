@@ -273,8 +273,11 @@ def similar_groups(docs: DataFrame, n_words: int = 5, num: int = 4, den: int = 5
 def keep_one_of_each(docs: DataFrame, **how) -> DataFrame:
     """docs with one row of each group: the one with the smallest doc_id; rows without an id stay."""
     groups = similar_groups(docs, **how).where("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(scratch(groups, "gone"), "doc_id", "left_anti").select(*docs.columns)
-    return left.where("doc_id is null").unionByName(left.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    # rows that repeat an id are one document; rows without an id are each their own
+    left = docs.join(scratch(groups, "gone"), "doc_id", "left_anti")
+    own = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    rows = left.select("doc_id", own.alias("_own"), F.struct(*docs.columns).alias("_row")).dropDuplicates(["doc_id", "_own"])
+    return rows.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 GROUPS_SQL = r"""
