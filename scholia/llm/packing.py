@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from scholia.llm import tokens
 
 WINDOW, END = 2048, 1
-SHARD_BYTES = 6_000_000
+SHARD_BYTES, ROW_BYTES = 6_000_000, 100
 K1, B, QUERY_TERMS = 1.2, 0.75, 32
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -134,7 +134,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END,
     rows alone: shards are hashes and are sorted before they are packed.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # a row weighs something even without a text, so that a shard's rows are bounded too
+    total = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES)).first()[0] or 0
     n = max(1, -(-total // shard_bytes))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)))
     return dealt.groupBy("shard").applyInArrow(_pack_group(tokenizer, window, end), SCHEMA)

@@ -111,7 +111,7 @@ def check_packing(pieces, docs, path, window=packing.WINDOW):
 def test_packing(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     lengths = check_packing(packing.pack(docs, tokenizer_path(), shard_bytes=100_000).collect(), [(r["doc_id"], r["text"]) for r in docs.collect()], tokenizer_path())
-    assert sum(n < packing.WINDOW for n in lengths) <= docs.agg(F.sum(F.octet_length("text"))).first()[0] // 100_000 + 1
+    assert sum(n < packing.WINDOW for n in lengths) <= docs.agg(F.sum(F.octet_length("text") + packing.ROW_BYTES)).first()[0] // 100_000 + 1
     odd = table(spark, ODD)
     check_packing(packing.pack(odd, tokenizer_path()).collect(), ODD, tokenizer_path())
     assert packing.pack(odd.limit(0), tokenizer_path()).count() == 0
