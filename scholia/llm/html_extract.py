@@ -28,9 +28,11 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 #: Words in class or id that name what isn't the article.
 NAMED = frozenset("""ad ads adv advert adverts advertisement advertising adsense adbox adslot banner breadcrumb breadcrumbs comment comments commentlist
     disqus respond replies reply cookie cookies consent copyright footer gdpr menu menubar masthead modal nav navbar navigation navi newsletter notice notices
-    notification pager pagination popup popover promo promotion related recommended recommendations rail share sharing sidebar sidebars sidenav signup skip social
+    discussion responses promoted aside adsbygoogle notification pager pagination popup popover promo promotion related recommended recommendations rail share sharing sidebar sidebars sidenav signup skip social
     sponsor sponsored subscribe subscription tags teaser toc toolbar topbar widget widgets alert disclaimer paywall login header""".split())
-CONTENT = frozenset("article body content entry main post story text page wrapper container site layout".split())
+CONTENT = frozenset("article body content entry main post story text".split())
+NEVER = frozenset("ad ads advert adverts advertisement comment comments commentlist disqus cookie consent footer menu nav sidebar".split())
+_WORD_OF_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Blocks end an open p; the listed tags end an open one of their kind.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^>]*\Z", re.S)
@@ -67,19 +69,23 @@ def _furniture(tag: str, attrs: str, in_article: bool) -> tuple[bool, str]:
         return False, ""
     if _HIDDEN.search(attrs):
         return True, ""
-    words: list[str] = []
+    first, named, content = "", set(), False
     for kind, *values in _NAMES.findall(attrs):
-        value = next((v for v in values if v), "").lower()
-        if kind.lower() == "role" and value.strip() in ROLES:
-            return True, value
-        words += re.findall(r"[a-z]+", value) if kind.lower() != "role" else []
-    if tag in ("html", "body", "main") or not words:
-        return False, words[0] if words else ""
-    named = NAMED.intersection(words)
-    if tag in HEADINGS or named <= {"header"} and in_article:
-        named = set()
-    safe = CONTENT.intersection(words) and not named & {"comment", "comments", "ad", "ads", "sidebar", "notice", "cookie"} or {"with", "has", "no"}.intersection(words)
-    return bool(named) and not safe, words[0]
+        value = next((v for v in values if v), "")
+        if kind.lower() == "role":
+            if value.strip().lower() in ROLES:
+                return True, value.strip().lower()
+            continue
+        for name in value.split():
+            words = [w.lower() for w in _WORD_OF_NAME.findall(name)]
+            first = first or (words[0] if words else "")
+            if {"with", "has", "no"}.intersection(words):
+                continue  # has-sidebar says what else the page has
+            named |= NAMED.intersection(words)
+            content |= bool(words) and CONTENT.issuperset(words)
+    if tag in ("html", "body", "main") or tag in HEADINGS or (content and not named & NEVER) or (in_article and named <= {"header"}):
+        return False, first
+    return bool(named), first
 
 
 def blocks(page: str) -> list[Block]:

@@ -136,6 +136,8 @@ TEXT = "Head\xadline & more First long paragraph, with many words, and commas. I
     PAGE % f"<main><div class='c1'>{BODY}</div><form>Subscribe, please: <input><button>Go</button></form></main>",
     PAGE % f"<div class='post'>{BODY}</div><section id='comments'><article class='comment'><p>I disagree, strongly, with this. Nice, though.</p></article></section>",
     PAGE % f"<article><header>{BODY[:BODY.index('<p>')]}</header>{BODY[BODY.index('<p>'):]}</article><div class='related'><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></div>",
+    PAGE % f"<div class='site-header'>Site, name. And more.</div><div id='pageContent'><div class='post-content'>{BODY}</div><div class='page-footer'>Foot, note. And so on, here.</div></div><div class='mainMenu'><p>Some, menu. Text, here.</p></div>",
+    PAGE % f"<div><div>{BODY}</div></div><div class='adContainer main'><p>Win, now. Really, do.</p></div><div role='complementary'>More, of it. Here, too.</div>",
     (PAGE % f"<article>{BODY}")[: (PAGE % f"<article>{BODY}").index("<div class=\"ad\"") + 6],
 ])
 def test_main_text(page):
