@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.functions.text import df_penalty, norm_key, tokens, trigrams
+from scholia.functions.text import df_penalty, norm_key, tokens
 from scholia.operators import fuzzy, graph, hot_words, lookup, search, stats
 from scholia.operators import index as ix
 from scholia.shared import shared_dir
