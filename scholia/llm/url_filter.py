@@ -6,6 +6,7 @@ integer weights, fitted on the driver to a small labelled table of URLs that is
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections.abc import Sequence
@@ -63,6 +64,13 @@ def train(rows: Sequence[tuple[str, str, int]] | None = None, epochs: int = 300,
     return [round(x * SCALE) for x in w], round(b / 10 * SCALE)
 
 
+@functools.cache
+def default_model() -> tuple[tuple[int, ...], int]:
+    """train() on labelled_urls(), once a process."""
+    weights, bias = train()
+    return tuple(weights), bias
+
+
 def parse_rules(rules: Sequence[tuple[str, str]]) -> list[tuple[str, str, str, str]]:
     """(rule, host, path, verdict), longest rule first, ties by code point; at most 1000 of them: they become one expression."""
     if len(rules) > 1000:
@@ -101,7 +109,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], model: tuple[list[
     Null urls and urls without :// have empty host and path, fit no rule and go to the model; an empty
     table gives an empty result; repeated rows are judged alike; other columns are not read.
     """
-    model = train() if model is None else model
+    model = default_model() if model is None else model
     parsed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     host, path = F.col("host"), F.col("path")
     rule, said = F.lit(None).cast("string"), F.when(model_score(host, path, model) > 0, "block").otherwise("allow")
@@ -113,7 +121,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], model: tuple[list[
 
 def judge_sql(rules: Sequence[tuple[str, str]], model: tuple[list[int], int] | None = None) -> str:
     """The same in DuckDB's SQL."""
-    weights, bias = train() if model is None else model
+    weights, bias = default_model() if model is None else model
     fits = [(n, f"((host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}'))", v) for n, h, p, v in parse_rules(rules)]
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return f"""
