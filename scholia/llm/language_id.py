@@ -24,7 +24,8 @@ PREDICTION = "lang_pred string, score double, positions array<long>"
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     np.negative(x, out=x)
-    np.exp(x, out=x)
+    with np.errstate(over="ignore"):  # 1 / (1 + inf) is the right 0
+        np.exp(x, out=x)
     x += 1
     return np.reciprocal(x, out=x)
 
@@ -44,17 +45,18 @@ class ByteGru:
         for t in range(n):
             x = steps[t]
             z, r, c = h @ p["hz"], h @ p["hr"], h @ p["hc"]
-            z += p["xz"][x]
-            r += p["xr"][x]
-            z, r = _sigmoid(np.clip(z, -30, 30, out=z)), _sigmoid(np.clip(r, -30, 30, out=r))
+            z += np.take(p["xz"], x, axis=0)
+            r += np.take(p["xr"], x, axis=0)
+            z, r = _sigmoid(z), _sigmoid(r)
             u = c.copy() if keep else None
             c *= r
-            c += p["xc"][x]
+            c += np.take(p["xc"], x, axis=0)
             np.tanh(c, out=c)
             if keep:
                 kept.append((h, z, r, u, c))
-            h = h + z * (c - h)
-            out[t] = h
+            z_c = c - h
+            z_c *= z
+            h = np.add(h, z_c, out=out[t])
         return out, kept
 
     def backward(self, steps: np.ndarray, kept: list, grad: np.ndarray) -> dict[str, np.ndarray]:
@@ -99,6 +101,20 @@ class Model:
         p /= p.sum(axis=2, keepdims=True)
         return p, (steps, hf, hb, kf, kb)
 
+    def labels(self, rows: np.ndarray) -> np.ndarray:
+        """The same probabilities by language, (languages, time, rows): languages are few, so each is a plane."""
+        steps = np.ascontiguousarray(rows.T)
+        hf, _ = self.fwd.forward(steps)
+        hb, _ = self.bwd.forward(steps[::-1])
+        shape = (len(self.langs), *steps.shape)
+        p = (self.out["f"].T @ hf.reshape(-1, HIDDEN).T).reshape(shape)
+        p += (self.out["b"].T @ hb.reshape(-1, HIDDEN).T).reshape(shape)[:, ::-1]
+        p += self.out["o"][:, None, None]
+        p -= p.max(axis=0)
+        np.exp(p, out=p)
+        p /= p.sum(axis=0)
+        return p
+
     def step(self, rows: np.ndarray, labels: np.ndarray, mask: np.ndarray) -> list[tuple[dict, dict]]:
         """(parameters, gradients) of the mean cross-entropy over all positions."""
         p, (steps, hf, hb, kf, kb) = self.positions(rows, keep=True)
@@ -116,11 +132,16 @@ class Model:
         n_langs = len(self.langs)
         sums, votes = np.zeros((len(texts), n_langs)), np.zeros((len(texts), n_langs), np.int64)
         for first, rows, mask, owner in _windows(texts):
-            p, _ = self.positions(rows)
-            m = mask.T
-            best = p.argmax(axis=2)
+            p = self.labels(rows)
+            m = np.ascontiguousarray(mask.T)
+            p *= m
+            best, top = np.zeros(m.shape, np.int16), p[0].copy()
+            for k in range(1, n_langs):
+                over = p[k] > top
+                best[over] = k
+                np.maximum(top, p[k], out=top)
             for k in range(n_langs):
-                sums[:, k] += np.bincount(owner, (p[:, :, k] * m).sum(0, dtype=np.float64), len(texts))
+                sums[:, k] += np.bincount(owner, p[k].sum(0, dtype=np.float64), len(texts))
                 votes[:, k] += np.bincount(owner, ((best == k) & m).sum(0), len(texts)).astype(np.int64)
         return sums / np.maximum([[len(t)] for t in texts], 1), votes
 
