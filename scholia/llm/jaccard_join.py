@@ -230,7 +230,9 @@ class JaccardJoin:
         schema = "doc_id long, n long, fp binary, keys array<struct<key:long,pos:int>>"
         entries = scratch(self.docs.mapInArrow(_entries(sent, self.n_words, num, den, limit), schema), "entries")
         known = entries.where("n > 0 and doc_id is not null")
-        nodes = known.groupBy("fp").agg(F.min_by(F.struct(F.col("doc_id").alias("node"), "n", "keys"), "doc_id").alias("s")).select("fp", "s.*")
+        # copies fold map-side into one head; its keys are found by head and set, so no group of copies meets in a task
+        heads = scratch(known.groupBy("fp").agg(F.min("doc_id").alias("node")), "heads")
+        nodes = known.withColumnRenamed("doc_id", "node").join(heads, ["fp", "node"], "left_semi")
         postings = nodes.select("node", "n", F.explode("keys").alias("k")).select("node", "n", "k.key", "k.pos")
         lists = postings.groupBy("key").agg(F.min(F.struct("node", "n", "pos")).alias("head"), F.count("*").alias("members")).where("members > 1").drop("members")
         shared = scratch(postings.join(lists.hint("shuffle_hash"), "key"), "shared")
@@ -240,7 +242,7 @@ class JaccardJoin:
         stars = scratch(stars.select(h["node"].alias("a"), F.col("node").alias("b")).distinct(), "stars")
         first = self._links(stars)
         # an id that stands on several texts ties them
-        homes = known.select("doc_id", "fp").join(nodes.select("fp", "node"), "fp")
+        homes = scratch(known.select("doc_id", "fp").join(heads, "fp"), "homes")
         several = homes.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("a", "b")
         first = scratch(first.unionByName(several), "links")
         # lists that still span components: members of different ones meet
@@ -254,8 +256,7 @@ class JaccardJoin:
         second = self._links(met.join(stars, ["a", "b"], "left_anti"))
         links = scratch(first.unionByName(second), "links")
         labels = scratch(components(links), "components")
-        nodes_ = scratch(homes.select("doc_id", "fp", "node").distinct(), "homes")
-        members = entries.select("doc_id", "n", "fp").join(nodes_, ["doc_id", "fp"], "left").join(labels, "node", "left")
+        members = entries.select("doc_id", "n", "fp").join(homes.distinct(), ["doc_id", "fp"], "left").join(labels, "node", "left")
         return members.select("doc_id", "n", "node", F.coalesce("component", "node", "doc_id").alias("component")), links
 
 
