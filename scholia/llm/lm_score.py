@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholia.llm.common import WORD
+from scholia.llm.common import scratch
 
 VOCABULARY, RARE, CLASSES = 4096, 64, 64
 WIDTH, HIDDEN, REACH = 16, 16, 2
@@ -189,23 +189,37 @@ def _train_part(sent, vocabulary_sent):
 
 
 def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the blocks dealt to a task, one row at a time: means weighted by positions."""
+    """Of the blocks dealt to a task, one row at a time: means weighted by positions, and their weight."""
     sums: dict[int, list] = {}
     for batch in batches:
-        for block, n, body in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+        for block, part, n, body in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
             x = np.frombuffer(body, np.float32).astype(np.float64) * n
-            s = sums.setdefault(block, [np.zeros_like(x), 0])
+            s = sums.setdefault(block, [np.zeros_like(x), 0, part])
             s[0] += x
             s[1] += n
-    for block, (x, n) in sums.items():
-        yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "body": pa.array([(x / n).astype(np.float32).tobytes()], pa.binary())})
+    for block, (x, n, part) in sums.items():
+        yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "part": pa.array([part], pa.int32()), "n": pa.array([n], pa.int64()), "body": pa.array([(x / n).astype(np.float32).tobytes()], pa.binary())})
+
+
+_PARAMETERS = "block int, part int, n long, body binary"
+#: Groups of partitions whose parameters are averaged first.
+_GROUPS = 64
 
 
 def vocabulary_of(docs: DataFrame) -> Vocabulary:
-    """Counts every word of every text; only the most frequent VOCABULARY, ties by bytes, come to the driver."""
-    counts = docs.select("text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    rows = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
-    n = docs.agg(F.sum(F.regexp_count("text", F.lit(WORD))).alias("n")).first()["n"] or 0
+    """Counts every word of every text; only the most frequent VOCABULARY, ties by bytes, come to the driver.
+
+    A histogram of the counts tells how frequent a word must be to come into question, so that no task
+    sends a list of its own candidates: between one and a few times VOCABULARY words are sorted at all.
+    """
+    counts = scratch(docs.select("text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    levels = counts.groupBy(F.floor(4 * F.log2("n")).alias("level")).agg(F.count("*").alias("words"), F.sum("n").alias("n"), F.min("n").alias("least")).collect()
+    above, least, n = 0, 1, sum(r["n"] for r in levels)
+    for r in sorted(levels, key=lambda r: -r["level"]):
+        above, least = above + r["words"], r["least"]
+        if above >= VOCABULARY:
+            break
+    rows = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
     return Vocabulary([(bytes(r["word"]), int(r["n"])) for r in rows], int(n))
 
 
@@ -240,8 +254,10 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, Network]:
     values = flat(initial(vocabulary)).astype(np.float32)
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast(values.tobytes())
-        parts = texts.mapInArrow(_train_part(sent, told), "block int, part int, n long, body binary")
-        mean = parts.repartition(8, "block").sortWithinPartitions("block", "part").mapInArrow(_average, "block int, body binary")
+        parts = texts.mapInArrow(_train_part(sent, told), _PARAMETERS)
+        # in two steps: what many partitions send never meets in one task
+        some = parts.repartition(F.col("block"), F.col("part") % _GROUPS).sortWithinPartitions("block", "part").mapInArrow(_average, _PARAMETERS)
+        mean = some.repartition("block").sortWithinPartitions("block", "part").mapInArrow(_average, _PARAMETERS)
         for r in mean.collect():
             got = np.frombuffer(r["body"], np.float32)
             values[r["block"] * _BLOCK : r["block"] * _BLOCK + len(got)] = got
