@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from scholia.llm.common import SPACE
 
 SYMBOLS = "#*$%&|<>"
-#: Rows of the sample on which costs and selectivities are estimated.
+#: Expected rows of the sample on which costs and selectivities are estimated.
 SAMPLE_ROWS = 2000
 
 
@@ -86,10 +86,11 @@ def _stats(docs: DataFrame) -> DataFrame:
 def order_rules(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS) -> list[dict]:
     """Rules with estimated rejection share, seconds and score, best first; an empty sample leaves them as they are.
 
-    The sample is at most sample_rows rows; share and cost are measured over it one rule at a time. Only
-    the order of evaluation depends on it.
+    The sample is each row with the same seeded chance, about sample_rows in all; share and cost are
+    measured over it one rule at a time. Only the order of evaluation depends on it.
     """
-    sample = _stats(docs.limit(sample_rows)).drop("_words").persist()
+    total = docs.count()
+    sample = _stats(docs.sample(min(1.0, sample_rows / max(total, 1)), seed=4)).drop("_words").persist()
     try:
         n = sample.count()
         out = []
