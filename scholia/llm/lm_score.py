@@ -1,15 +1,17 @@
 """Masked pseudo-likelihood of documents.
 
-Words (A-Z folded) are counted over the whole corpus; the VOCABULARY most frequent are tokens of their own,
-the others fall by hash into RARE buckets. A window network sees the two tokens on either side of a
-position and predicts the token in the middle through frequency classes: p(token) = p(class | window) *
-p(token | class). Training is data-parallel: each partition takes gradient steps on every STRIDE-th position
+Words (A-Z folded) are counted over the whole corpus; the most frequent (VOCABULARY, and more as the corpus
+grows) are tokens of their own, the others fall by hash into RARE buckets. A window network sees the two
+tokens on either side of a position and predicts the token in the middle through frequency classes:
+p(word) = p(class | window) * p(token | class), for a rare word times its share of its bucket, from the
+counts of all words. Training is data-parallel: each partition takes gradient steps on every STRIDE-th position
 of its documents, the partitions' parameters are averaged by their positions, and the next round starts
 from there. Scoring sums the log-probability of every token of every text.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -59,42 +61,57 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Ids(dict):
-    """Ids of frequent words; any other word's is its bucket's."""
+    """Ids of words that are tokens of their own; any other word's is its bucket's."""
 
     def __missing__(self, word: bytes) -> int:
         return VOCABULARY + zlib.crc32(word) % RARE
 
 
+PAD = VOCABULARY + RARE
+
+
 class Vocabulary:
-    """Words by rank, the class of every id, and log p(id | class), from corpus counts."""
+    """Words by rank, the class of every id, and log p(id | class), from corpus counts.
 
-    def __init__(self, counted: list[tuple[bytes, int]], total: int):
+    Ids: the first VOCABULARY words, the buckets, PAD, and then the words beyond VOCABULARY.
+    """
+
+    def __init__(self, counted: list[tuple[bytes, int]], total: int, rare: dict[int, int] | None = None):
+        """rare: of each bucket how many tokens of the corpus are in it; else what the listed words leave is spread over all."""
         self.words = [w for w, _ in counted]
-        n = np.zeros(VOCABULARY + RARE)
-        n[: len(counted)] = [c for _, c in counted]
-        # what the corpus has beyond the listed words is spread over the buckets; every id keeps a little
-        n[VOCABULARY:] = max(total - n.sum(), 0) / RARE
-        n += 0.5
-        order = np.argsort(-n, kind="stable")
+        at = np.arange(len(counted))
+        self.ids = at + (at >= VOCABULARY) * (RARE + 1)
+        n = np.zeros(PAD + 1 + max(len(counted) - VOCABULARY, 0))
+        n[self.ids] = [c for _, c in counted]
+        if rare is None:
+            n[VOCABULARY:PAD] = max(total - n.sum(), 0) / RARE
+        else:
+            n[VOCABULARY:PAD] = [rare.get(k, 0) for k in range(RARE)]
+        #: Log of the tokens of each bucket; a rare word's share of it is its own count over this.
+        self.log_rare = np.log(np.maximum(n[VOCABULARY:PAD], 1))
+        n += 0.5  # every id keeps a little
+        known = np.delete(np.arange(len(n)), PAD)
+        order = known[np.argsort(-n[known], kind="stable")]
         share = np.sqrt(n[order])
-        self.cls = np.zeros(len(n) + 1, np.int64)
+        self.cls = np.zeros(len(n), np.int64)
         self.cls[order] = np.minimum((np.cumsum(share) - share / 2) / share.sum() * CLASSES, CLASSES - 1).astype(np.int64)
-        mass = np.bincount(self.cls[:-1], n, CLASSES)
-        self.inside = np.zeros(len(n) + 1)
-        self.inside[:-1] = np.log(n / mass[self.cls[:-1]])
+        mass = np.bincount(self.cls[known], n[known], CLASSES)
+        self.inside = np.zeros(len(n))
+        self.inside[known] = np.log(n[known] / mass[self.cls[known]])
         self.prior = np.log(np.maximum(mass, 1e-9) / mass.sum())
 
     def lookup(self) -> Ids:
-        return Ids((w, i) for i, w in enumerate(self.words))
+        return Ids(zip(self.words, self.ids.tolist(), strict=True))
 
 
-PAD = VOCABULARY + RARE
-_SHAPES = {"embed": (PAD + 1, WIDTH), "in": (2 * REACH, WIDTH, HIDDEN), "b": (HIDDEN,), "out": (HIDDEN, CLASSES), "c": (CLASSES,)}
+#: embed has a row for each id.
+_SHAPES = {"embed": (-1, WIDTH), "in": (2 * REACH, WIDTH, HIDDEN), "b": (HIDDEN,), "out": (HIDDEN, CLASSES), "c": (CLASSES,)}
 
 
 def initial(vocabulary: Vocabulary, seed: int = 11) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
-    p = {k: (rng.standard_normal(s) * (0.5 if k == "embed" else 1 / np.sqrt(s[-2] if len(s) > 1 else 1))).astype(np.float32) for k, s in _SHAPES.items()}
+    shapes = _SHAPES | {"embed": (len(vocabulary.cls), WIDTH)}
+    p = {k: (rng.standard_normal(s) * (0.5 if k == "embed" else 1 / np.sqrt(s[-2] if len(s) > 1 else 1))).astype(np.float32) for k, s in shapes.items()}
     p["b"][:] = 0
     p["out"] *= 0.1
     p["c"][:] = vocabulary.prior
@@ -106,10 +123,13 @@ def flat(p: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def unflat(x: np.ndarray) -> dict[str, np.ndarray]:
-    out, at = {}, 0
+    out, at = {}, len(x) - sum(int(np.prod(s)) for s in _SHAPES.values() if s[0] > 0)
     for k, s in _SHAPES.items():
-        out[k] = x[at : at + int(np.prod(s))].reshape(s).astype(np.float32)
-        at += int(np.prod(s))
+        if s[0] < 0:
+            out[k] = x[:at].reshape(s).astype(np.float32)
+        else:
+            out[k] = x[at : at + int(np.prod(s))].reshape(s).astype(np.float32)
+            at += int(np.prod(s))
     return out
 
 
@@ -206,21 +226,30 @@ _PARAMETERS = "block int, part int, n long, body binary"
 _GROUPS = 64
 
 
-def vocabulary_of(docs: DataFrame) -> Vocabulary:
-    """Counts every word of every text; only the most frequent VOCABULARY, ties by bytes, come to the driver.
+def own_words(total: int) -> int:
+    """How many words of a corpus of so many tokens are tokens of their own: with the root, so that the parameters stay far smaller than the corpus."""
+    return max(VOCABULARY, 2 * math.isqrt(total))
+
+
+def vocabulary_of(docs: DataFrame) -> tuple[Vocabulary, DataFrame]:
+    """Counts every word of every text. The vocabulary, and word, n of all words beyond it; only the most frequent, ties by bytes, come to the driver.
 
     A histogram of the counts tells how frequent a word must be to come into question, so that no task
-    sends a list of its own candidates: between one and a few times VOCABULARY words are sorted at all.
+    sends a list of its own candidates: between one and a few times that many words are sorted at all.
     """
     counts = scratch(docs.select("text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     levels = counts.groupBy(F.floor(4 * F.log2("n")).alias("level")).agg(F.count("*").alias("words"), F.sum("n").alias("n"), F.min("n").alias("least")).collect()
-    above, least, n = 0, 1, sum(r["n"] for r in levels)
+    above, least, n = 0, 1, int(sum(r["n"] for r in levels))
     for r in sorted(levels, key=lambda r: -r["level"]):
         above, least = above + r["words"], r["least"]
-        if above >= VOCABULARY:
+        if above >= own_words(n):
             break
-    rows = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
-    return Vocabulary([(bytes(r["word"]), int(r["n"])) for r in rows], int(n))
+    rows = [(bytes(r["word"]), int(r["n"])) for r in counts.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(own_words(n)).collect()]
+    rare = counts.where(F.lit(False))
+    if rows:
+        rare = counts.where((F.col("n") < rows[-1][1]) | ((F.col("n") == rows[-1][1]) & (F.col("word") > F.lit(rows[-1][0]))))
+    masses = rare.groupBy((F.crc32("word") % RARE).alias("bucket")).agg(F.sum("n").alias("n")).collect()
+    return Vocabulary(rows, n, {int(r["bucket"]): int(r["n"]) for r in masses}), rare
 
 
 class Network:
@@ -247,9 +276,8 @@ class Network:
         return out
 
 
-def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, Network]:
+def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Network:
     spark, texts = docs.sparkSession, docs.select("text")
-    vocabulary = vocabulary_of(docs)
     told = spark.sparkContext.broadcast(vocabulary)
     values = flat(initial(vocabulary)).astype(np.float32)
     for _ in range(rounds):
@@ -261,7 +289,7 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, Network]:
         for r in mean.collect():
             got = np.frombuffer(r["body"], np.float32)
             values[r["block"] * _BLOCK : r["block"] * _BLOCK + len(got)] = got
-    return vocabulary, Network(unflat(values))
+    return Network(unflat(values))
 
 
 def score_texts(texts: list[np.ndarray], vocabulary: Vocabulary, network: Network) -> list[float]:
@@ -275,21 +303,42 @@ def score_texts(texts: list[np.ndarray], vocabulary: Vocabulary, network: Networ
     return np.bincount(owner, network.log_probs(ids, at, vocabulary), len(texts)).tolist()
 
 
+_SCORED = "row long, doc_id long, n_tokens long, log_prob double, rare array<struct<word:binary,tf:long>>"
+
+
 def _score_part(vocabulary_sent, network_sent):
+    """Of each text the log-probability of its tokens, with rare words at one over their buckets' tokens, and its rare words, whose counts are to be joined."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, network = vocabulary_sent.value, network_sent.value
         ids = vocabulary.lookup()
         for batch in batches:
-            sums, counts, block, held = [], [], [], 0
-            for _, x in _texts(iter([batch]), 1, ids):
-                counts.append(len(x))
-                block.append(x)
+            rows, docs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            block, first, less, held, names, times, ends = [], 0, [], 0, [], [], [0]
+
+            def out(stop: int) -> pa.RecordBatch:
+                sums = np.array(score_texts(block, vocabulary, network)) - less
+                rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(names, pa.binary()), pa.array(times, pa.int64())], ["word", "tf"]))
+                return pa.RecordBatch.from_pydict({"row": pa.array(rows[first:stop], pa.int64()), "doc_id": pa.array(docs[first:stop], pa.int64()), "n_tokens": pa.array([len(x) for x in block], pa.int64()), "log_prob": pa.array(sums, pa.float64()), "rare": rare})
+
+            for k, t in enumerate(batch.column(2).to_pylist()):
+                parts, rare = [], Counter()
+                for w in words(t):
+                    x = np.fromiter(map(ids.__getitem__, w), np.int32, len(w))
+                    parts.append(x)
+                    rare.update([w[i] for i in np.flatnonzero((x >= VOCABULARY) & (x < PAD)).tolist()])
+                block.append(np.concatenate(parts) if parts else np.zeros(0, np.int32))
+                x = block[-1]
+                less.append(float(vocabulary.log_rare[x[(x >= VOCABULARY) & (x < PAD)] - VOCABULARY].sum()))
+                names.extend(rare)
+                times.extend(rare.values())
+                ends.append(len(names))
                 held += len(x)
                 if held >= 8 * _BLOCK:
-                    sums += score_texts(block, vocabulary, network)
-                    block, held = [], 0
-            sums += score_texts(block, vocabulary, network)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).cast(pa.int64()), "n_tokens": pa.array(counts, pa.int64()), "log_prob": pa.array(sums, pa.float64())})
+                    yield out(k + 1)
+                    block, first, less, held, names, times, ends = [], k + 1, [], 0, [], [], [0]
+            if block:
+                yield out(len(rows))
 
     return run
 
@@ -298,10 +347,18 @@ def score(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, log_prob (summed), mean_log_prob (null without tokens) for each row of docs.
 
     Null and empty texts have no tokens and log_prob 0. Repeated rows score alike. Long texts are read
-    whole, in pieces. Other columns are not read; an empty table gives an empty result. The model follows
-    from the corpus and the way its files are split into partitions.
+    whole, in pieces. Other columns are not read; an empty table gives an empty result. Every word of the
+    texts has been counted, so none is unseen. The model follows from the corpus and the way its files are
+    split into partitions.
     """
     sc = docs.sparkSession.sparkContext
-    vocabulary, network = train(docs)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_score_part(sc.broadcast(vocabulary), sc.broadcast(network)), "doc_id long, n_tokens long, log_prob double")
+    vocabulary, rare = vocabulary_of(docs)
+    network = train(docs, vocabulary)
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    scored = scratch(texts.mapInArrow(_score_part(sc.broadcast(vocabulary), sc.broadcast(network)), _SCORED), "scored")
+    # a word that occurs once adds log 1 = 0; frequent words are not here, so no key is hot
+    known = rare.where("n > 1").select("word", F.log("n").alias("log_n"))
+    found = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.tf").join(known.hint("shuffle_hash"), "word")
+    more = found.groupBy("row").agg(F.sum(F.col("tf") * F.col("log_n")).alias("more"))
+    rows = scored.drop("rare").join(more, "row", "left").select("doc_id", "n_tokens", (F.col("log_prob") + F.coalesce("more", F.lit(0.0))).alias("log_prob"))
     return rows.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))

@@ -172,3 +172,28 @@ def test_lm_is_normalised():
         total += float(np.exp(net.log_probs(y, np.array([3]), vocabulary)[0]))
     assert total == pytest.approx(1.0, rel=1e-4)
     assert unicodedata.normalize("NFC", "é") == "é"
+
+
+def test_lm_rare_words_have_their_own_share(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "own_words", lambda total: 4)
+    # two rare words of one bucket, one of them fifty times as frequent
+    often = b"often"
+    seldom = next(w for w in (f"w{k}".encode() for k in range(9999)) if zlib.crc32(w) % lm_score.RARE == zlib.crc32(often) % lm_score.RARE)
+    rows = [(i, "the cat sat on " * 40) for i in range(50)] + [(100 + i, "often") for i in range(50)] + [(200, seldom.decode())]
+    got = {r["doc_id"]: r["log_prob"] for r in lm_score.score(table(spark, rows)).collect()}
+    assert got[100] - got[200] == pytest.approx(math.log(50), abs=1e-5)
+
+
+def test_lm_vocabulary_grows():
+    assert lm_score.own_words(10**3) == lm_score.VOCABULARY < lm_score.own_words(10**8) < lm_score.own_words(10**10)
+    words = [(b"w%d" % k, 6000 - k) for k in range(5000)]
+    vocabulary = lm_score.Vocabulary(words, 10**8, {0: 1000, 3: 7})
+    ids = vocabulary.lookup()
+    got = [ids[w] for w, _ in words]
+    assert len(set(got)) == 5000 and not {lm_score.PAD, *range(lm_score.VOCABULARY, lm_score.PAD)}.intersection(got)
+    inside = np.delete(np.exp(vocabulary.inside), lm_score.PAD)
+    classes = np.delete(vocabulary.cls, lm_score.PAD)
+    assert np.bincount(classes, inside)[np.unique(classes)] == pytest.approx(1.0)
+    p = lm_score.initial(vocabulary)
+    again = lm_score.unflat(lm_score.flat(p))
+    assert all((p[k] == again[k]).all() for k in p) and len(p["embed"]) == 5000 + lm_score.RARE + 1
