@@ -4,7 +4,7 @@ Words (A-Z folded) are counted over the whole corpus; the most frequent (VOCABUL
 grows) are tokens of their own, the others fall by hash into RARE buckets. A window network sees the two
 tokens on either side of a position and predicts the token in the middle through frequency classes:
 p(word) = p(class | window) * p(token | class), for a rare word times its share of its bucket, from the
-counts of all words. Training is data-parallel: each partition takes gradient steps on every STRIDE-th position
+counts of all words. Training is data-parallel: each partition takes gradient steps on every position
 of its documents, the partitions' parameters are averaged by their positions, and the next round starts
 from there. Scoring sums the log-probability of every token of every text.
 """
@@ -26,7 +26,7 @@ from scholia.llm.common import scratch
 
 VOCABULARY, RARE, CLASSES = 4096, 64, 64
 WIDTH, HIDDEN, REACH = 16, 16, 2
-STRIDE, ROUNDS, BATCH, RATE = 8, 2, 256, 0.1
+ROUNDS, BATCH, RATE = 2, 256, 0.1
 _PIECE, _COUNTED = 1 << 19, 300_000
 _BLOCK = 1 << 14
 
@@ -140,21 +140,26 @@ def windows(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def step(p: dict[str, np.ndarray], seen: dict[str, np.ndarray], ctx: np.ndarray, target: np.ndarray) -> None:
     """One step of Adagrad on the cross-entropy of the middle tokens' classes."""
-    e = p["embed"][ctx]
-    h = np.tanh(np.einsum("nkd,kdh->nh", e, p["in"], optimize=True) + p["b"])
+    n = len(target)
+    # the window's sides stand beside each other, so that each product is one of matrices
+    e, w = p["embed"].take(ctx, axis=0).reshape(n, -1), p["in"].reshape(-1, HIDDEN)
+    h = np.tanh(e @ w + p["b"])
     z = h @ p["out"] + p["c"]
     z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
     z /= z.sum(axis=1, keepdims=True)
-    z[np.arange(len(target)), target] -= 1
-    z /= len(target)
+    z[np.arange(n), target] -= 1
+    z /= n
     dh = (z @ p["out"].T) * (1 - h * h)
-    used, place = np.unique(ctx, return_inverse=True)
-    de = np.zeros((len(used), WIDTH), np.float32)
-    np.add.at(de, place.ravel(), np.einsum("nh,kdh->nkd", dh, p["in"], optimize=True).reshape(-1, WIDTH))
-    grads = {"out": h.T @ z, "c": z.sum(0), "b": dh.sum(0), "in": np.einsum("nkd,nh->kdh", e, dh, optimize=True)}
-    seen["embed"][used] += de * de
-    p["embed"][used] -= RATE * de / np.sqrt(seen["embed"][used] + 1e-8)
+    order = np.argsort(ctx.ravel(), kind="stable")
+    ids = ctx.ravel()[order]
+    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    used = ids[first]
+    de = np.add.reduceat((dh @ w.T).reshape(-1, WIDTH).take(order, axis=0), first, axis=0)
+    grads = {"out": h.T @ z, "c": z.sum(0), "b": dh.sum(0), "in": (e.T @ dh).reshape(p["in"].shape)}
+    past = seen["embed"][used] + de * de
+    seen["embed"][used] = past
+    p["embed"][used] -= RATE * de / np.sqrt(past + 1e-8)
     for k, g in grads.items():
         seen[k] += g * g
         p[k] -= (RATE * g / np.sqrt(seen[k] + 1e-8)).astype(np.float32)
@@ -178,17 +183,16 @@ def _train_part(sent, vocabulary_sent):
         ctx, target, held, done = [], [], 0, 0
         part = TaskContext.get().partitionId()
         for _, x in _texts(batches, 0, vocabulary.lookup()):
-            # the first position differs from text to text, so that no place of a text is preferred
-            at = np.arange(int(x[:8].sum()) % STRIDE, len(x), STRIDE)
-            if not len(at):
-                continue
-            ctx.append(windows(np.concatenate([_EDGE, x, _EDGE]), at + REACH))
-            target.append(vocabulary.cls[x[at]])
-            held += len(at)
-            if held >= 64 * BATCH:
-                done += held
-                _steps(p, seen, ctx, target)
-                held = 0
+            padded = np.concatenate([_EDGE, x, _EDGE])
+            for a in range(0, len(x), 64 * BATCH):
+                at = np.arange(a, min(a + 64 * BATCH, len(x)))
+                ctx.append(windows(padded, at + REACH))
+                target.append(vocabulary.cls[x[at]])
+                held += len(at)
+                if held >= 64 * BATCH:
+                    done += held
+                    _steps(p, seen, ctx, target)
+                    held = 0
         if held:
             done += held
             _steps(p, seen, ctx, target)

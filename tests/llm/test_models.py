@@ -197,3 +197,17 @@ def test_lm_vocabulary_grows():
     p = lm_score.initial(vocabulary)
     again = lm_score.unflat(lm_score.flat(p))
     assert all((p[k] == again[k]).all() for k in p) and len(p["embed"]) == 5000 + lm_score.RARE + 1
+
+
+def test_lm_trains_on_every_position(monkeypatch):
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(lm_score, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    vocabulary = lm_score.Vocabulary([(b"a", 10), (b"b", 5)], 20)
+    sent = SimpleNamespace(value=lm_score.flat(lm_score.initial(vocabulary)).tobytes())
+    texts = ["a", "b a b", "a b " * 20_000, "", None, "b"]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
+    got = list(lm_score._train_part(sent, SimpleNamespace(value=vocabulary))(iter([batch])))
+    assert got[0].column(2).to_pylist() == [sum(len((t or "").split()) for t in texts)]
