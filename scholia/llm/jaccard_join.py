@@ -9,6 +9,8 @@ cost over the corpus's size histogram. Sets just below it do both, so no pair is
 A list never becomes pairs of all its members. First each member meets its list's least one; the links
 found are contracted, lists within one component are done, and only members of different components of
 one list, which the size and position bounds still allow, meet. Every link is verified on whole sets.
+That gives the components. link_counts() gives the join's links themselves, within components too: all
+different sets of a list that the bounds allow meet, in blocks, and are verified.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from scholia.llm.shingles import mix, shingle_sets
 SKETCH_BITS, SLICES = 24, 64
 #: Ids of documents whose sets are fetched are broadcast up to this many, and joined beyond.
 FEW_IDS = 1_000_000
+#: Sets of one list in a block of the join of all pairs.
+BLOCK = 1000
 _SIZES = 4096
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
 
@@ -160,10 +164,19 @@ def _sets(n_words: int):
     return run
 
 
+def _printed_sets(n_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [s.tobytes() for s in shingle_sets(batch.column(1).to_pylist(), n_words)]
+            prints = [hashlib.blake2b(b, digest_size=16).digest() if b else None for b in found]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).cast(pa.int64()), "fp": pa.array(prints, pa.binary()), "body": pa.array(found, pa.binary())})
+
+    return run
+
+
 def _verify(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a_ids, b_ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             keep, last, x = [], None, None
             for k in range(batch.num_rows):
                 body = batch.column(2)[k].as_buffer()
@@ -178,7 +191,8 @@ def _verify(num: int, den: int):
                 both = int((large[at] == small).sum())
                 if den * both >= num * (len(x) + len(y) - both):
                     keep.append(k)
-            yield pa.RecordBatch.from_pydict({"a": pa.array([a_ids[k] for k in keep], pa.int64()), "b": pa.array([b_ids[k] for k in keep], pa.int64())})
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_pydict({"a": batch.column(0).take(at), "b": batch.column(1).take(at)})
 
     return run
 
@@ -222,13 +236,40 @@ class JaccardJoin:
         two = one.join(sets.withColumnRenamed("doc_id", "a").withColumnRenamed("body", "x"), "a")
         return scratch(two.select("a", "b", "x", "y").mapInArrow(_verify(self.num, self.den), "a long, b long"), "links")
 
-    def run(self) -> tuple[DataFrame, DataFrame]:
-        """(members, links): members has doc_id, n, node, component for each row of docs; links verified pairs of nodes that join all that link."""
-        num, den = self.num, self.den
+    def _entries(self) -> DataFrame:
         classes, limit = self._order()
         sent = self.spark.sparkContext.broadcast(classes)
         schema = "doc_id long, n long, fp binary, keys array<struct<key:long,pos:int>>"
-        entries = scratch(self.docs.mapInArrow(_entries(sent, self.n_words, num, den, limit), schema), "entries")
+        return scratch(self.docs.mapInArrow(_entries(sent, self.n_words, self.num, self.den, limit), schema), "entries")
+
+    def all_links(self) -> tuple[DataFrame, DataFrame]:
+        """(entries, links): links has every pair of different sets that link, a < b by their fingerprints. It grows with the square of a group."""
+        num, den = self.num, self.den
+        entries = self._entries()
+        known = entries.where("n > 0 and doc_id is not null")
+        heads = scratch(known.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "heads")
+        sets = known.join(heads, ["fp", "doc_id"], "left_semi")
+        postings = scratch(sets.select("fp", "n", F.explode("keys").alias("k")).select("fp", "n", "k.key", "k.pos").distinct(), "postings")
+        lists = postings.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+        shared = scratch(postings.join(lists, "key"), "shared")
+        # a block of a list meets the whole list, so a long one is dealt over as many keys as it has blocks
+        x = shared.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).alias("x")
+        y = shared.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("y")
+        meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.fp") < F.col("y.fp"))
+        met = x.join(y, meet & _allowed(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), num, den))
+        pairs = scratch(met.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct(), "pairs")
+        wanted = scratch(pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct().join(heads, "fp"), "wanted")
+        bodies = self.docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_printed_sets(self.n_words), "doc_id long, fp binary, body binary")
+        # one row a set: its head's id may be repeated, or stand on other sets too
+        bodies = scratch(bodies.join(wanted, ["doc_id", "fp"], "left_semi").dropDuplicates(["fp"]).select("fp", "body"), "sets")
+        one = pairs.join(bodies.withColumnRenamed("fp", "b").withColumnRenamed("body", "y"), "b")
+        two = one.join(bodies.withColumnRenamed("fp", "a").withColumnRenamed("body", "x"), "a")
+        return entries, scratch(two.select("a", "b", "x", "y").mapInArrow(_verify(num, den), "a binary, b binary"), "links")
+
+    def run(self) -> tuple[DataFrame, DataFrame]:
+        """(members, links): members has doc_id, n, node, component for each row of docs; links verified pairs of nodes that join all that link."""
+        num, den = self.num, self.den
+        entries = self._entries()
         known = entries.where("n > 0 and doc_id is not null")
         # copies fold map-side into one head; its keys are found by head and set, so no group of copies meets in a task
         heads = scratch(known.groupBy("fp").agg(F.min("doc_id").alias("node")), "heads")
@@ -271,6 +312,32 @@ def similar_groups(docs: DataFrame, n_words: int = 5, num: int = 4, den: int = 5
     return members.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+def link_counts(docs: DataFrame, n_words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """doc_id, n_shingles, n_links for each row of docs: with how many other documents it links by Jaccard >= num/den.
+
+    Copies count, each for itself, but are not paired: a set stands for all that have it. A doc_id is one
+    document, whatever its rows; texts without words and rows without doc_id link with nothing.
+    """
+    entries, links = JaccardJoin(docs, n_words, num, den).all_links()
+    homes = scratch(entries.where("n > 0 and doc_id is not null").select("doc_id", "fp").distinct(), "homes")
+    several = scratch(homes.groupBy("doc_id").agg(F.count("*").alias("sets")).where("sets > 1").select("doc_id"), "several")
+    held = homes.groupBy("fp").agg(F.count("*").alias("docs"))
+    # what a set links with, itself and its copies first
+    near = links.select(F.col("a").alias("of"), F.col("b").alias("fp")).unionByName(links.select(F.col("b").alias("of"), F.col("a").alias("fp")))
+    near = scratch(near.unionByName(held.select(F.col("fp").alias("of"), "fp")), "near")
+    tied = scratch(homes.join(several, "doc_id", "left_semi").withColumnRenamed("doc_id", "tied"), "tied")
+
+    def others(near: DataFrame, of: str) -> DataFrame:
+        """Documents on the sets near each `of` but itself; one that stands on several of them counts once."""
+        twice = near.join(tied, "fp").groupBy(of, "tied").agg((1 - F.count("*")).alias("docs")).select(of, "docs")
+        return near.join(held, "fp").select(of, "docs").unionByName(twice).groupBy(of).agg((F.sum("docs") - 1).alias("n_links"))
+
+    single = homes.join(several, "doc_id", "left_anti").join(others(near, "of").withColumnRenamed("of", "fp"), "fp").select("doc_id", "n_links")
+    mine = tied.withColumnRenamed("tied", "doc_id").withColumnRenamed("fp", "of").join(near, "of").select("doc_id", "fp").distinct()
+    counts = scratch(single.unionByName(others(scratch(mine, "mine"), "doc_id")), "counts")
+    return entries.select("doc_id", F.col("n").alias("n_shingles")).join(counts, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def keep_one_of_each(docs: DataFrame, **how) -> DataFrame:
     """docs with one row of each group: the one with the smallest doc_id; rows without an id stay."""
     groups = similar_groups(docs, **how).where("doc_id <> component_id").select("doc_id").distinct()

@@ -82,6 +82,21 @@ def test_any_light_limit_gives_the_same_groups(spark, monkeypatch, limit):
     assert {r["doc_id"]: r["component_id"] for r in jaccard_join.similar_groups(table(spark, rows), 4, 85, 100).where("doc_id is not null").collect()} == want
 
 
+@pytest.mark.parametrize(("n", "num", "den", "block"), [(4, 85, 100, 1000), (5, 4, 5, 7)])
+def test_all_links(spark, monkeypatch, n, num, den, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    rows = texts()
+    sets = [(d, shingles(t, n)) for d, t in rows if d is not None]
+    want = {d: set() for d, _ in sets}
+    for (a, x), (b, y) in combinations(sets, 2):
+        if a != b and x and y and den * len(x & y) >= num * len(x | y):
+            want[a].add(b)
+            want[b].add(a)
+    got = jaccard_join.link_counts(table(spark, rows), n, num, den).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["n_links"]) for r in got) == Counter((d, len(shingles(t, n)), len(want.get(d, ()))) for d, t in rows)
+    assert jaccard_join.link_counts(table(spark, rows).limit(0), n, num, den).count() == 0
+
+
 def test_one_of_each(spark):
     d = table(spark, [(3, "a b c d e f g"), (1, "a b c d e f g"), (1, "a b c d e f g"), (2, "q r s t u v w"), (None, "a b c d e f g"), (9, None)])
     kept = jaccard_join.keep_one_of_each(d)
