@@ -3,8 +3,8 @@
 A page becomes a sequence of text blocks, each with its root-to-leaf tag path. Elements whose tag, role or
 class names furniture (menus, forms, adverts, reader comments, ...) go first. For each path of the rest,
 text length and punctuation per block are aggregated; the two series are smoothed along the page, fused
-into one score, and blocks above a threshold are content. The element that holds the content is then
-taken whole, so that its short paragraphs and headings stay.
+into one score, and blocks above a threshold are content, wherever they stand. Of the element that holds
+nearly all of it, headings and paragraphs beside content blocks stay too, however short.
 """
 
 from __future__ import annotations
@@ -206,10 +206,14 @@ def select(found: list[Block], threshold: float = 0.25) -> list[Block]:
         if e.tag in ("article", "main"):
             home = e
             break
-    inside = [b for b in found if b.element is home or any(e is home for e in _above(b.element))]
-    whole = home.tag not in ("", "html", "body")
-    beside = {id(b.element.parent) for b in inside if b.taken}
-    return [b for b in inside if whole or b.taken or (id(b.element.parent) in beside and b.linked < 0.8 * len(b.text) and (b.element.tag in HEADINGS or b.element.tag == "p"))]
+    inside = {id(b) for b in found if b.element is home or any(e is home for e in _above(b.element))}
+    beside = {id(_around(b.element)) for b in found if b.taken and id(b) in inside}
+    return [b for b in found if b.taken or (id(b) in inside and id(_around(b.element)) in beside and b.linked < 0.8 * len(b.text) and (b.element.tag in HEADINGS or b.element.tag == "p"))]
+
+
+def _around(e: Element) -> Element | None:
+    """What an element stands in; a header stands for its headings."""
+    return next((x for x in _above(e) if x.tag not in ("header", "hgroup")), None)
 
 
 def _above(e: Element) -> Iterator[Element]:

@@ -159,6 +159,16 @@ def test_main_text(page):
     assert html_extract.main_text(page) == TEXT
 
 
+def test_container_does_not_override_the_paths():
+    first, second = "An introduction, with some words; it leads in, gently, to the rest.", "The text itself, which is long, and has commas; it goes on, and on. " * 6
+    page = "<html><body><div class='%s'><p>" + first + "</p></div><div class='%s'><p>" + second + "</p></div></body></html>"
+    assert html_extract.main_text(page % ("intro", "text")) == " ".join(f"{first} {second}".split())
+    parts = page.replace("<div class='%s'>", "<article>").replace("</div>", "</article>")
+    assert html_extract.main_text(parts) == " ".join(f"{first} {second}".split())
+    links = "<ul>" + "<li><a href=x>Elsewhere</a></li>" * 8 + "</ul>"
+    assert html_extract.main_text(f"<body><div class=text><p>{second}</p><p>Short.</p>{links}<p>{second}</p></div></body>") == " ".join(f"{second} Short. {second}".split())
+
+
 def test_extract_odd_rows(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "plain, only"), (3, "u", "plain, only"), (4, "u", "<p>a<p>b<div"), (5, "u", "<script>x"), (6, "u", "<article>" + "<p>word, and more.</p>" * 20_000), (7, "u", "<div " * 50 + "<<>>&am; &#x41;")]
     pages = spark.createDataFrame([(*r, "clash", 3) for r in rows], "page_id long, url string, html string, text string, n_chars int")
