@@ -14,7 +14,7 @@ from scholia.llm.common import scratch, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter and those in which no language has a clear share."""
+    """Rejects documents without a letter and those that are no language in any window."""
     return language_id.keep_identified(docs)
 
 

@@ -19,7 +19,7 @@ DOCS_A_LANGUAGE, DOCS_IN_ALL, WINDOWS_A_DOC = 1500, 30_000, (2, 16)
 #: Steps of gradient descent, and windows in each.
 STEPS, BATCH = 450, 96
 ROWS_AT_ONCE, BYTES_AT_ONCE = 2048, 2_000_000
-PREDICTION = "lang_pred string, score double, positions array<long>"
+PREDICTION = "lang_pred string, score double, positions array<long>, clearest double"
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -127,10 +127,11 @@ class Model:
         gb = self.bwd.backward(steps[::-1], kb, (d @ self.out["b"].T)[::-1])
         return [(self.fwd.p, gf), (self.bwd.p, gb), (self.out, go)]
 
-    def predict(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Mean probabilities (texts, languages) and the number of positions labelled with each language."""
+    def predict(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Mean probabilities (texts, languages), the number of positions labelled with each language, and the highest mean that a language has in any window."""
         n_langs = len(self.langs)
         sums, votes = np.zeros((len(texts), n_langs)), np.zeros((len(texts), n_langs), np.int64)
+        clearest = np.zeros(len(texts))
         for first, rows, mask, owner in _windows(texts):
             p = self.labels(rows)
             m = np.ascontiguousarray(mask.T)
@@ -140,10 +141,14 @@ class Model:
                 over = p[k] > top
                 best[over] = k
                 np.maximum(top, p[k], out=top)
+            most = np.zeros(len(owner))
             for k in range(n_langs):
-                sums[:, k] += np.bincount(owner, p[k].sum(0, dtype=np.float64), len(texts))
+                own = p[k].sum(0, dtype=np.float64)
+                np.maximum(most, own, out=most)
+                sums[:, k] += np.bincount(owner, own, len(texts))
                 votes[:, k] += np.bincount(owner, ((best == k) & m).sum(0), len(texts)).astype(np.int64)
-        return sums / np.maximum([[len(t)] for t in texts], 1), votes
+            np.maximum.at(clearest, owner, most / np.maximum(m.sum(0), 1))
+        return sums / np.maximum([[len(t)] for t in texts], 1), votes, clearest
 
 
 def _windows(texts: list[bytes]):
@@ -219,13 +224,13 @@ def predictor(model: Model | None):
 
     @F.pandas_udf(PREDICTION)
     def predict(text: pd.Series) -> pd.DataFrame:
-        pred, score, positions = [], [], []
+        pred, score, positions, clear = [], [], [], []
         block, size = [], 0
 
         def flush() -> None:
             nonlocal size
             known = [b for b in block if b]
-            means, votes = model.predict(known) if known else (None, None)
+            means, votes, clearest = model.predict(known) if known else (None, None, None)
             k = 0
             for b in block:
                 if b:
@@ -233,11 +238,13 @@ def predictor(model: Model | None):
                     pred.append(model.langs[best])
                     score.append(float(min(1.0, max(0.0, means[k, best]))))
                     positions.append(votes[k].tolist())
+                    clear.append(float(clearest[k]))
                     k += 1
                 else:
                     pred.append(UNDETERMINED)
                     score.append(0.0)
                     positions.append([])
+                    clear.append(0.0)
             block.clear()
             size = 0
 
@@ -247,7 +254,7 @@ def predictor(model: Model | None):
             if size >= BYTES_AT_ONCE:
                 flush()
         flush()
-        return pd.DataFrame({"lang_pred": pred, "score": score, "positions": positions})
+        return pd.DataFrame({"lang_pred": pred, "score": score, "positions": positions, "clearest": clear})
 
     return lambda text: predict(F.when(text.rlike(r"\p{L}"), text))
 
@@ -265,7 +272,15 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
-    """docs without the rows it rejects: undetermined ones, and those in which no language has `least` of the probability."""
-    p = predictor(train(sample(docs)))(F.col("text"))
-    rows = docs.select(F.struct("*").alias("_row"), p.alias("_p")).where((F.col("_p.lang_pred") != UNDETERMINED) & (F.col("_p.score") >= least))
+    """docs without the rows it rejects: texts without a letter, and those that are no language in any of their windows.
+
+    A window is none where no language has `least` of its probability, nor half as much again as all would
+    have alike; so a text in several languages stays, and many languages lower the bar. Where no row can be
+    learned from, every text with a letter stays.
+    """
+    model = train(sample(docs))
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    p, bar = predictor(model)(F.col("text")), min(least, 1.5 / len(model.langs))
+    rows = docs.select(F.struct("*").alias("_row"), p.alias("_p")).where((F.col("_p.lang_pred") != UNDETERMINED) & (F.col("_p.clearest") >= bar))
     return rows.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])

@@ -45,6 +45,19 @@ def test_language_id_odd_rows(spark, sf):
     assert kept.columns == table(spark, ODD).columns and {r["doc_id"] for r in kept.collect()}.isdisjoint({1, 2, 3, 4})
 
 
+def test_clean_documents_stay(spark):
+    one = {"aa": "abcab acbca ", "bb": "klmkl mklmk ", "cc": "xyzxy zyxyz "}
+    rows = [(lang, 100 * i + k, t * 12) for i, (lang, t) in enumerate(one.items()) for k in range(30)]
+    rows += [(None, 999, "".join(t * 20 for t in one.values())), (None, 1000, "12 34")]
+    d = spark.createDataFrame([(k, t, lang) for lang, k, t in rows], "doc_id long, text string, lang string")
+    model = language_id.train(language_id.sample(d))
+    score = {r["doc_id"]: r["score"] for r in language_id.identify(d, model).collect()}
+    assert score[999] < 0.4  # its mean is about a third in each language
+    assert {r["doc_id"] for r in language_id.keep_identified(d).collect()} == {k for _, k, _ in rows} - {1000}
+    blind = language_id.keep_identified(table(spark, ODD).withColumn("lang", F.lit(None).cast("string")))
+    assert sorted(str(r["doc_id"]) for r in blind.collect()) == sorted(str(d) for d, _ in ODD if d not in (1, 2, 3, 4))
+
+
 def test_gru_gradients():
     model = language_id.Model(["a", "b", "c"], seed=3)
     rng = np.random.default_rng(0)
