@@ -367,7 +367,12 @@ def clique_counts(spark, sf_dir):
 
 @query()
 def clique_counts_deep(spark, sf_dir):
-    return graph.clique_counts(graph.edges(tables.part_authors(spark, sf_dir)), 4)
+    return graph.clique_counts(graph.edges(tables.part_authors(spark, sf_dir)))
+
+
+@query()
+def clique_participation_deep(spark, sf_dir):
+    return graph.clique_participation(graph.edges(tables.part_authors(spark, sf_dir)))
 
 
 @query(f"""with {PARTS}, {EDGES}, {CLIQUES},
