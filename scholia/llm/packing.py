@@ -18,7 +18,9 @@ from scholia.llm import tokens
 
 WINDOW, END = 2048, 1
 SHARD_BYTES, ROW_BYTES = 6_000_000, 100
-K1, B, QUERY_TERMS = 1.2, 0.75, 32
+K1, B = 1.2, 0.75
+#: Terms of a seed that are queried: all, whatever their number.
+QUERY_TERMS = 1 << 62
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -45,11 +47,8 @@ class Bm25Shard:
         self.n = len(docs)
 
     def scores(self, doc: int) -> np.ndarray:
-        """BM25 of every document for the heaviest terms of this one."""
-        own = self.own[doc]
-        if len(own) > QUERY_TERMS:
-            own = own[np.argpartition(-self.weight[own], QUERY_TERMS)[:QUERY_TERMS]]
-        spans = [slice(self.at[t], self.at[t + 1]) for t in self.term[own]]
+        """BM25 of every document for all terms of this one."""
+        spans = [slice(self.at[t], self.at[t + 1]) for t in self.term[self.own[doc]]]
         return np.bincount(np.concatenate([self.post_doc[s] for s in spans]), np.concatenate([self.post_weight[s] for s in spans]), self.n)
 
     def neighbours(self, doc: int, unused: np.ndarray) -> Iterator[int]:

@@ -152,6 +152,13 @@ def test_bm25_finds_its_own_kind():
         assert index.scores(0) == pytest.approx([sum(weight(t, d) for t in terms) for d in docs], rel=1e-4)
 
 
+def test_bm25_queries_all_terms():
+    # the seed's other terms are all heavier than the one that the second document shares
+    docs = [np.array([*np.repeat(np.arange(1, 60), 3), 99], "<u4"), np.array([99, 200, 201], "<u4"), np.array([300, 301], "<u4"), np.array([400], "<u4")]
+    index, unused = packing.Bm25Shard(docs), np.array([False, True, True, True])
+    assert list(index.neighbours(0, unused)) == [1]
+
+
 def test_lm_score(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = op1_lm_score(spark, sf).collect()
