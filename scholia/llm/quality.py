@@ -1,8 +1,8 @@
 """Quality rules as a short-circuit cascade.
 
 Each rule's cost and selectivity are estimated on a bounded sample; rules then run in the order of
-rejection per cost, each only on what the ones before it let through. The order changes how much is
-computed, never the verdict. Native: higher-order functions and SQL expressions only.
+rejection per cost, each only on what the ones before it let through. The base counts are columns of the
+result and made for every row, so the order saves comparisons, never a count or a verdict. Native: higher-order functions and SQL expressions only.
 """
 
 from __future__ import annotations
