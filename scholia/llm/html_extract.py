@@ -1,19 +1,20 @@
 """Main text of web pages by tag-path ratios.
 
-A page becomes a sequence of text blocks, each with its root-to-leaf tag path. Elements whose tag, role or
-class names furniture (menus, forms, adverts, reader comments, ...) go first. For each path of the rest,
-text length and punctuation per block are aggregated; the two series are smoothed along the page, fused
-into one score, and blocks above a threshold are content, wherever they stand. Of the element that holds
-nearly all of it, headings and paragraphs beside content blocks stay too, however short.
+A page becomes a sequence of text blocks, each with its root-to-leaf tag path. For each path, text length
+(outside links) and punctuation per block are aggregated; the two series are smoothed along the page and
+fused into one score a path, and the paths above a threshold are content: all their blocks, wherever they
+stand. What tags, roles and class names say of an element is a prior on its paths' scores, for or against;
+where they say nothing the ratios decide alone. Only what is never text (scripts, styles, form controls,
+the head, hidden elements) goes before.
 """
 
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 from collections import defaultdict
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,8 +24,16 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr label".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-FURNITURE = frozenset("head nav footer aside form button select option menu dialog object audio video canvas map fieldset".split()) | RAW
+#: Never text of the page, whatever it holds.
+NO_TEXT = frozenset("head form button select option menu dialog object audio video canvas map fieldset".split()) | RAW
+FURNITURE = frozenset("nav footer aside".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+#: Log priors of paths: through furniture, and through what names itself the content.
+AGAINST, FOR = -20.0, 4.0
+#: Of elements that authors write in: headings are short, paragraphs are the usual place of text.
+OF_TAG = dict.fromkeys(HEADINGS, 1.5) | {"p": 1.0, "blockquote": 1.0, "pre": 1.0}
+#: Share of the page's mean score that a content path reaches.
+THRESHOLD = 0.4
 #: Words in class or id that name what isn't the article.
 NAMED = frozenset("""ad ads adv advert adverts advertisement advertising adsense adbox adslot banner breadcrumb breadcrumbs comment comments commentlist
     disqus respond replies reply cookie cookies consent copyright footer gdpr menu menubar masthead modal nav navbar navigation navi newsletter notice notices
@@ -33,79 +42,103 @@ NAMED = frozenset("""ad ads adv advert adverts advertisement advertising adsense
 CONTENT = frozenset("article body content entry main post story text".split())
 NEVER = frozenset("ad ads advert adverts advertisement comment comments commentlist disqus cookie consent footer menu nav sidebar".split())
 _WORD_OF_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-#: Blocks end an open p; the listed tags end an open one of their kind.
+#: Blocks end an open p; the listed tags end an open one of their kind, unless it stands outside the innermost of BOUNDS.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^>]*\Z", re.S)
-_NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+BOUNDS = ("ul", "ol", "table", "dl", "select")
+#: Quotes count only where a value begins; one that never ends is a character like others.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^=>]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|["']?))*+)>|</?[a-zA-Z][^>]*\Z""", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s=/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"']\S*)))?""")
 _PUNCTUATION = re.compile(r"""[.,;:!?¿¡…。，、；：！？—–"'“”„«»()]""")
 
 
-@dataclass
+@dataclass(slots=True)
 class Element:
+    """path: the number of its tag path; prior: the log prior of that path; block: the nearest element that is no inline one."""
+
     tag: str
-    path: str
-    parent: Element | None
+    path: int
+    prior: float
     dropped: bool
     in_article: bool
-    label: str = ""
+    reader: bool = False
+    block: Element | None = None
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
-    element: Element
+    tag: str
+    path: int
+    prior: float
     text: str
     linked: int
-    score: float = 0.0
-    taken: bool = False
-    parts: list = field(default_factory=list)
-
-
-def _furniture(tag: str, attrs: str, in_article: bool) -> tuple[bool, str]:
-    """Whether an element is furniture by its tag or names; its first class word, for the path."""
-    if tag in FURNITURE or (tag == "header" and not in_article):
-        return True, tag
-    if not attrs.strip():
-        return False, ""
-    if _HIDDEN.search(attrs):
-        return True, ""
-    first, named, content = "", set(), False
-    for kind, *values in _NAMES.findall(attrs):
-        value = next((v for v in values if v), "")
-        if kind.lower() == "role":
-            if value.strip().lower() in ROLES:
-                return True, value.strip().lower()
-            continue
-        for name in value.split():
-            words = [w.lower() for w in _WORD_OF_NAME.findall(name)]
-            first = first or (words[0] if words else "")
-            if {"with", "has", "no"}.intersection(words):
-                continue  # has-sidebar says what else the page has
-            named |= NAMED.intersection(words)
-            content |= bool(words) and CONTENT.issuperset(words)
-    if tag in ("html", "body", "main") or tag in HEADINGS or (content and not named & NEVER) or (in_article and named <= {"header"}):
-        return False, first
-    return bool(named), first
+
+
+def _attributes(raw: str) -> dict[str, str]:
+    """Names and values; the first of a name counts."""
+    out: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(raw):
+        out.setdefault(name.lower(), next((v for v in values if v), ""))
+    return out
+
+
+def _judge(tag: str, raw: str, in_article: bool) -> tuple[bool, float, str, bool]:
+    """Whether an element is never text, its log prior, its first class word for the path, whether it holds readers' words."""
+    if tag in NO_TEXT:
+        return True, 0.0, "", False
+    prior = AGAINST if tag in FURNITURE or (tag == "header" and not in_article) else FOR if tag in ("article", "main") else 0.0
+    if not raw.strip(" /\t\n\r\f"):
+        return False, prior, "", False
+    attrs = _attributes(raw)
+    style = attrs.get("style", "").replace(" ", "").lower()
+    if "hidden" in attrs or "display:none" in style or attrs.get("aria-hidden", "").strip().lower() == "true":
+        return True, 0.0, "", False
+    if attrs.get("role", "").strip().lower() in ROLES:
+        return False, AGAINST, "", False
+    first, named, content, reader = "", set(), False, False
+    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
+        words = [w.lower() for w in _WORD_OF_NAME.findall(name)]
+        first = first or (words[0] if words else "")
+        if {"with", "has", "no"}.intersection(words):
+            continue  # has-sidebar says what else the page has
+        named |= NAMED.intersection(words)
+        content |= bool(words) and CONTENT.issuperset(words)
+        reader |= any(w in name.lower() for w in ("comment", "respond", "repl", "disqus"))
+    if tag in ("html", "body") or tag in HEADINGS:
+        return False, prior, first, reader
+    if named and not (tag == "main" or (content and not named & NEVER) or (in_article and named <= {"header"})):
+        return False, AGAINST, first, reader
+    return False, FOR if content else prior, first, reader
 
 
 def blocks(page: str) -> list[Block]:
-    """Text blocks in page order outside furniture, entities decoded, white space made one space."""
-    root = Element("", "", None, False, False)
+    """Text blocks in page order, entities decoded, white space made one space; in time linear in the page, however deep it nests."""
+    root = Element("", 0, 0.0, False, False)
+    root.block = root
     stack, out, parts, linked, links = [root], [], [], 0, 0
+    numbers: dict[tuple, int] = {}  # (path above, label, prior) -> path
+    opened: dict[str, list[int]] = defaultdict(list)  # of each tag, where it stands in the stack
+    endless: set[str] = set()  # raw elements without an end in the rest of the page
     at, end = 0, len(page)
 
     def close() -> None:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(next(e for e in reversed(stack) if e.tag not in INLINE), text, linked))
+            block = stack[-1].block
+            out.append(Block(block.tag, block.path, block.prior, text, linked))
         parts.clear()
         linked = 0
 
     def pop(to: int) -> None:
         nonlocal links
-        links -= sum(e.tag == "a" for e in stack[to:])
-        del stack[to:]
+        while len(stack) > to:
+            e = stack.pop()
+            opened[e.tag].pop()
+            links -= e.tag == "a"
+
+    def last(*tags: str) -> int:
+        """Where the innermost open element of these stands; 0: there is none."""
+        return max((opened[t][-1] for t in tags if opened[t]), default=0)
 
     def add(raw: str) -> None:
         nonlocal linked
@@ -124,41 +157,41 @@ def blocks(page: str) -> list[Block]:
         if m[2] is None:
             continue
         tag, attrs = m[2].lower(), m[3]
+        if tag not in INLINE:
+            close()
         if m[1]:
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if tag not in INLINE:
-                close()
-            if k:
+            if k := last(tag):
                 pop(k)
             continue
-        if tag not in INLINE:
-            close()
         if tag in VOID:
             continue
         if tag in RAW:
-            stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
-            at = stop.end() if stop else (end if tag in ("script", "style") else at)
-            if not stop and tag not in ("script", "style"):
-                continue
+            stop = None if tag in endless else re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
+            if not stop:
+                endless.add(tag)
+            at = stop.end() if stop else end if tag in ("script", "style") else at
             continue
         if tag not in INLINE:
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "p" or stack[i].tag in HEADINGS), 0)
-            if k and stack[k].tag not in ENDS and (stack[k].tag == "p" or tag == "p" or tag in HEADINGS):
+            k = last("p", *HEADINGS)
+            if k and (stack[k].tag == "p" or tag == "p" or tag in HEADINGS):
                 pop(k)
             for kind in ENDS.get(tag, ()):
-                k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in (kind, "ul", "ol", "table", "dl", "select")), 0)
-                if k and stack[k].tag == kind:
+                if (k := last(kind)) > last(*BOUNDS):
                     pop(k)
         top = stack[-1]
-        dropped, name = _furniture(tag, attrs, top.in_article)
-        if tag in ("article", "main") and not dropped and top.dropped and not any(w in e.label for e in stack for w in ("comment", "respond", "repl", "disqus")):
-            pop(next((i for i, e in enumerate(stack) if e.dropped), len(stack)))  # furniture that was never closed
+        dropped, prior, name, reader = _judge(tag, attrs, top.in_article)
+        if tag in ("article", "main") and not dropped and prior > 0 and (top.dropped or top.prior < 0) and not top.reader:
+            pop(next(i for i, e in enumerate(stack) if e.dropped or e.prior < 0))  # furniture that was never closed
             top = stack[-1]
         if attrs.rstrip().endswith("/") and tag not in INLINE and dropped:
             continue
-        label = name or tag
-        path = top.path if tag in INLINE else f"{top.path}/{tag}" + (f".{name}" if name and name != tag else "")
-        stack.append(Element(tag, path, top, top.dropped or dropped, top.in_article or tag in ("article", "main"), label))
+        prior = top.prior if top.prior < 0 or not prior else prior
+        label = (tag, name, prior)
+        path = top.path if tag in INLINE and prior == top.prior else numbers.setdefault((top.path, *label), len(numbers) + 1)
+        e = Element(tag, path, prior, top.dropped or dropped, top.in_article or tag in ("article", "main"), top.reader or reader)
+        e.block = e if tag not in INLINE or prior != top.prior else top.block
+        opened[tag].append(len(stack))
+        stack.append(e)
         links += tag == "a"
     close()
     return out
@@ -169,57 +202,36 @@ def _smooth(x: list[float]) -> list[float]:
     return [(x[max(i - 1, 0)] + 2 * x[i] + x[min(i + 1, len(x) - 1)]) / 4 for i in range(len(x))]
 
 
-def select(found: list[Block], threshold: float = 0.25) -> list[Block]:
-    """Blocks of content by the ratios of their tag paths."""
-    if not found:
-        return []
+def path_scores(found: list[Block]) -> dict[int, float]:
+    """Of each tag path the mean over its blocks of the fused series: smoothed text length times smoothed punctuation, as they are on the average of a path."""
     length, marks, count = defaultdict(float), defaultdict(float), defaultdict(int)
     for b in found:
-        length[b.element.path] += max(len(b.text) - b.linked, 0)
-        marks[b.element.path] += len(_PUNCTUATION.findall(b.text))
-        count[b.element.path] += 1
-    by_length = _smooth([length[b.element.path] / count[b.element.path] for b in found])
-    by_marks = _smooth([marks[b.element.path] / count[b.element.path] for b in found])
+        length[b.path] += max(len(b.text) - b.linked, 0)
+        marks[b.path] += len(_PUNCTUATION.findall(b.text))
+        count[b.path] += 1
+    by_length = _smooth([length[b.path] / count[b.path] for b in found])
+    by_marks = _smooth([marks[b.path] / count[b.path] for b in found])
+    fused: dict[int, float] = defaultdict(float)
     for b, x, y in zip(found, by_length, by_marks, strict=True):
-        b.score = x * (1 + y)
-    bar = threshold * sum(b.score * len(b.text) for b in found) / sum(len(b.text) for b in found)
-    for b in found:
-        b.taken = b.score >= bar and b.linked < 0.8 * len(b.text)
-    if not any(b.taken for b in found):
-        for b in found:
-            b.taken = b.score >= bar
-    # the deepest element that holds nearly all of it
-    held, total = defaultdict(int), 0
-    elements: dict[int, Element] = {}
-    for b in found:
-        if b.taken:
-            total += len(b.text)
-            e = b.element
-            while e is not None:
-                held[id(e)] += len(b.text)
-                elements[id(e)] = e
-                e = e.parent
-    home = max((e for k, e in elements.items() if held[k] >= 0.8 * total), key=lambda e: e.path.count("/"))
-    while home.parent is not None and (home.tag in ("p", "li", "td", "blockquote", "pre", "section", "ul", "ol", "table", "tbody", "tr", "dl", "dd") or home.tag in HEADINGS):
-        home = home.parent
-    for e in (home, *_above(home)):
-        if e.tag in ("article", "main"):
-            home = e
-            break
-    inside = {id(b) for b in found if b.element is home or any(e is home for e in _above(b.element))}
-    beside = {id(_around(b.element)) for b in found if b.taken and id(b) in inside}
-    return [b for b in found if b.taken or (id(b) in inside and id(_around(b.element)) in beside and b.linked < 0.8 * len(b.text) and (b.element.tag in HEADINGS or b.element.tag == "p"))]
+        fused[b.path] += x * (1 + y) / count[b.path]
+    return fused
 
 
-def _around(e: Element) -> Element | None:
-    """What an element stands in; a header stands for its headings."""
-    return next((x for x in _above(e) if x.tag not in ("header", "hgroup")), None)
+def select(found: list[Block], threshold: float = THRESHOLD) -> list[Block]:
+    """Blocks of the content paths: score times prior reaches the threshold's share of the page's mean, where furniture hardly counts.
 
-
-def _above(e: Element) -> Iterator[Element]:
-    while e.parent is not None:
-        e = e.parent
-        yield e
+    A path that is mostly links is content only where nothing else is.
+    """
+    if not found:
+        return []
+    scores, size, linked = path_scores(found), defaultdict(int), defaultdict(int)
+    for b in found:
+        size[b.path] += len(b.text)
+        linked[b.path] += b.linked
+    weights = [len(b.text) * math.exp(min(b.prior, 0.0)) for b in found]
+    bar = threshold * sum(scores[b.path] * w for b, w in zip(found, weights, strict=True)) / sum(weights)
+    above = [b for b in found if scores[b.path] * math.exp(b.prior + OF_TAG.get(b.tag, 0.0)) >= bar]
+    return [b for b in above if linked[b.path] < 0.8 * size[b.path]] or [b for b in above if b.prior >= 0]
 
 
 def main_text(page: str | None) -> str:
@@ -230,8 +242,9 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text for each row of pages.
 
-    The whole html is read, however long, and however it ends: cut pages give what they hold. Null html is
-    an empty page; repeated rows give equal rows; an empty table gives none; other columns are not read.
+    The whole html is read, however long, however deep it nests and however it ends: cut pages give what
+    they hold, and tags that never end or close cost no more than others. Null html is an empty page;
+    repeated rows give equal rows; an empty table gives none; other columns are not read.
     """
 
     @F.pandas_udf("string")

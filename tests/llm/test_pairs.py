@@ -1,6 +1,7 @@
 """Jaccard join, components, HTML extraction and exact search."""
 
 import re
+import time
 from collections import Counter
 from itertools import combinations
 from random import Random
@@ -169,6 +170,42 @@ def test_container_does_not_override_the_paths():
     assert html_extract.main_text(f"<body><div class=text><p>{second}</p><p>Short.</p>{links}<p>{second}</p></div></body>") == " ".join(f"{second} Short. {second}".split())
 
 
+def test_path_scores_decide(spark, sf):
+    page = PAGE % f"<article>{BODY}</article>"
+    assert " ".join(b.text for b in html_extract.blocks(page)) != TEXT  # the menu, the notice and the advert are among the blocks
+    pages = [r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    assert all(len(html_extract.select(b)) < len(b) for b in map(html_extract.blocks, pages))
+
+
+def test_pages_without_telling_names():
+    """No article, main, nav or class names: ratios alone tell prose from link lists, buttons of text and one-line boxes."""
+    menu = "<div><div><a href=1>Home</a></div><div><a href=2>World</a></div><div><a href=3>Sport</a></div></div>"
+    box = "<div><div><div>Buy now</div></div></div>"
+    foot = "<div><div><div>Imprint</div><div>Terms</div><div>Site 2024</div></div></div>"
+    page = f"<html><body>{menu}{box}<div><div>{BODY}</div></div>{foot}</body></html>"
+    assert html_extract.main_text(page) == TEXT
+    scores = html_extract.path_scores(html_extract.blocks(page))
+    assert len(set(scores.values())) > 3
+
+
+@pytest.mark.parametrize("attrs", ["title=don't", "title = don't", "x='a>b' y=it's", 'x="a > b" title=a=\'b', "title=\"it's\"", "data-x=5' z"])
+def test_quotes_begin_values_only(attrs):
+    page = f"<article><p {attrs}>First, para. It is long.</p><p>It's the second, one.</p><p>Third, one.</p></article>"
+    assert html_extract.main_text(page) == "First, para. It is long. It's the second, one. Third, one."
+
+
+def test_deep_nesting_is_linear():
+    def took(n):
+        start = time.perf_counter()
+        for open_, close in (("<div>", "</div>"), ("<ul><li>", ""), ("<div><p>a<b>", ""), ("<svg>", "")):
+            html_extract.main_text(open_ * n + "word, and more." + close * n)
+        return time.perf_counter() - start
+
+    took(1000)
+    assert html_extract.main_text("<div>" * 100_000 + "word, and more." + "</div>" * 100_000) == "word, and more."
+    assert took(50_000) < 25 * max(took(5_000), 0.05)
+
+
 def test_extract_odd_rows(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "plain, only"), (3, "u", "plain, only"), (4, "u", "<p>a<p>b<div"), (5, "u", "<script>x"), (6, "u", "<article>" + "<p>word, and more.</p>" * 20_000), (7, "u", "<div " * 50 + "<<>>&am; &#x41;")]
     pages = spark.createDataFrame([(*r, "clash", 3) for r in rows], "page_id long, url string, html string, text string, n_chars int")
