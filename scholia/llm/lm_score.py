@@ -2,16 +2,21 @@
 
 Words (A-Z folded) are counted over the whole corpus; the most frequent (VOCABULARY, and more as the corpus
 grows) are tokens of their own, the others fall by hash into RARE buckets. A window network sees the two
-tokens on either side of a position and predicts the token in the middle through frequency classes:
-p(word) = p(class | window) * p(token | class), for a rare word times its share of its bucket, from the
-counts of all words. Training is data-parallel: each partition takes gradient steps on every position
-of its documents, the partitions' parameters are averaged by their positions, and the next round starts
-from there. Scoring sums the log-probability of every token of every text.
+tokens on either side of a position and predicts the token in the middle: its hidden state decides at every
+inner node of a binary tree over all tokens (frequent ones near the root) which way to go, so that
+p(token | window) is the product of the decisions on the token's path, learned node by node, and sums to
+one over all tokens without being computed for all of them. A rare word's probability is its bucket's times
+its share of the bucket, from the counts of all words.
+
+Texts are encoded once. Training is data-parallel: each partition takes gradient steps on every position of
+its documents from the same start; then each parameter's values are averaged by how often the partitions
+trained it, in a tree of bounded fan-in, and only what was trained is sent. Scoring sums the log-probability
+of every token of every text.
 """
 
 from __future__ import annotations
 
-import math
+import heapq
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -24,11 +29,15 @@ from pyspark.sql import functions as F
 
 from scholia.llm.common import scratch
 
-VOCABULARY, RARE, CLASSES = 4096, 64, 64
+VOCABULARY, RARE = 4096, 64
 WIDTH, HIDDEN, REACH = 16, 16, 2
-ROUNDS, BATCH, RATE = 2, 256, 0.1
+ROUNDS, BATCH, RATE = 1, 512, 0.1
+#: Nodes nearest the root, by how often they are passed, are computed for every position as one matrix product.
+DENSE = 64
+#: Parameters of so many partitions are averaged by one step of the tree.
+FAN_IN = 32
 _PIECE, _COUNTED = 1 << 19, 300_000
-_BLOCK = 1 << 14
+_BLOCK, _ROWS = 1 << 14, 1 << 10
 
 
 def words(text: str | None) -> Iterator[list[bytes]]:
@@ -70,10 +79,25 @@ class Ids(dict):
 PAD = VOCABULARY + RARE
 
 
+def huffman(n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of tokens with counts n: the node above each token and node, whether it is that node's second child, and the nodes' counts; the root is last."""
+    k, heap = len(n), [(float(c), i) for i, c in enumerate(n)]
+    heapq.heapify(heap)
+    above, second, mass = np.zeros(2 * k - 1, np.int64), np.zeros(2 * k - 1, bool), np.concatenate([n, np.zeros(k - 1)])
+    for node in range(k, 2 * k - 1):
+        (ca, a), (cb, b) = heapq.heappop(heap), heapq.heappop(heap)
+        above[a] = above[b] = node
+        second[b], mass[node] = True, ca + cb
+        heapq.heappush(heap, (ca + cb, node))
+    return above, second, mass[k:]
+
+
 class Vocabulary:
-    """Words by rank, the class of every id, and log p(id | class), from corpus counts.
+    """Words by rank and the tree over all ids, from corpus counts.
 
-    Ids: the first VOCABULARY words, the buckets, PAD, and then the words beyond VOCABULARY.
+    Ids: the first VOCABULARY words, the buckets, PAD, and then the words beyond VOCABULARY. Nodes are
+    numbered by falling count, so the DENSE first ones are those that most positions pass. `at`, `nodes` and
+    `turns` hold each id's path: nodes[at[i] : at[i + 1]], and 1 where it goes to the second child.
     """
 
     def __init__(self, counted: list[tuple[bytes, int]], total: int, rare: dict[int, int] | None = None):
@@ -90,87 +114,183 @@ class Vocabulary:
         #: Log of the tokens of each bucket; a rare word's share of it is its own count over this.
         self.log_rare = np.log(np.maximum(n[VOCABULARY:PAD], 1))
         n += 0.5  # every id keeps a little
-        known = np.delete(np.arange(len(n)), PAD)
-        order = known[np.argsort(-n[known], kind="stable")]
-        share = np.sqrt(n[order])
-        self.cls = np.zeros(len(n), np.int64)
-        self.cls[order] = np.minimum((np.cumsum(share) - share / 2) / share.sum() * CLASSES, CLASSES - 1).astype(np.int64)
-        mass = np.bincount(self.cls[known], n[known], CLASSES)
-        self.inside = np.zeros(len(n))
-        self.inside[known] = np.log(n[known] / mass[self.cls[known]])
-        self.prior = np.log(np.maximum(mass, 1e-9) / mass.sum())
+        # ids that no word has (of a small vocabulary) and PAD are in no text and not in the tree
+        known = np.concatenate([self.ids, np.arange(VOCABULARY, PAD)])
+        above, second, mass = huffman(n[known])
+        k, root = len(known), 2 * len(known) - 2
+        order = np.argsort(-mass, kind="stable")
+        number = np.empty(k - 1, np.int32)
+        number[order] = np.arange(k - 1)
+        self.size, self.count = len(n), k - 1
+        half = np.zeros(k - 1)
+        half[above[:-1][second[:-1]] - k] = np.concatenate([n[known], mass])[:-1][second[:-1]]
+        p = half[order] / mass[order]
+        #: Log-odds of each node's second child: the network starts as the unigram model.
+        self.prior = np.log(p / (1 - p)).astype(np.float32)
+        # paths level by level, from the tokens up
+        now, owner, levels = np.arange(k), known, []
+        while len(now):
+            up = now != root
+            now, owner = now[up], owner[up]
+            levels.append((owner, number[above[now] - k], second[now]))
+            now = above[now]
+        owners, nodes, turns = (np.concatenate(x) for x in zip(*levels, strict=True))
+        order = np.lexsort((nodes, owners))
+        self.nodes, self.turns = nodes[order].astype(np.int32), turns[order].astype(np.float32)
+        self.at = np.searchsorted(owners[order], np.arange(self.size + 1))
+        # the dense part as a row for each id, the rest as paths
+        dense = self.nodes < DENSE
+        owner = owners[order]
+        self.passed = np.zeros((self.size, DENSE), np.int8)  # 0: not on the path, 1: first child, 2: second
+        self.passed[owner[dense], self.nodes[dense]] = 1 + self.turns[dense].astype(np.int8)
+        self.rest_nodes, self.rest_turns = self.nodes[~dense], self.turns[~dense]
+        self.rest_at = np.searchsorted(owner[~dense], np.arange(self.size + 1))
 
     def lookup(self) -> Ids:
         return Ids(zip(self.words, self.ids.tolist(), strict=True))
 
 
-#: embed has a row for each id.
-_SHAPES = {"embed": (-1, WIDTH), "in": (2 * REACH, WIDTH, HIDDEN), "b": (HIDDEN,), "out": (HIDDEN, CLASSES), "c": (CLASSES,)}
+def _spans(at: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions at[i]..at[i + 1] of all ids, one after the other, and how many each has."""
+    n = at[ids + 1] - at[ids]
+    ends = np.cumsum(n)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(at[ids] - ends + n, n), n
 
 
 def initial(vocabulary: Vocabulary, seed: int = 11) -> dict[str, np.ndarray]:
+    """embed: a row for each id; in, b: the hidden layer; node, c: a row and a bias for each node of the tree."""
     rng = np.random.default_rng(seed)
-    shapes = _SHAPES | {"embed": (len(vocabulary.cls), WIDTH)}
-    p = {k: (rng.standard_normal(s) * (0.5 if k == "embed" else 1 / np.sqrt(s[-2] if len(s) > 1 else 1))).astype(np.float32) for k, s in shapes.items()}
-    p["b"][:] = 0
-    p["out"] *= 0.1
-    p["c"][:] = vocabulary.prior
-    return p
+    embed = (0.5 * rng.standard_normal((vocabulary.size, WIDTH))).astype(np.float32)
+    inward = (rng.standard_normal((2 * REACH * WIDTH, HIDDEN)) / np.sqrt(2 * REACH * WIDTH)).astype(np.float32)
+    node = (0.1 * rng.standard_normal((max(vocabulary.count, DENSE), HIDDEN))).astype(np.float32)
+    c = np.zeros(len(node), np.float32)
+    c[: vocabulary.count] = vocabulary.prior
+    return {"embed": embed, "in": inward, "b": np.zeros(HIDDEN, np.float32), "node": node, "c": c}
 
 
-def flat(p: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([p[k].ravel() for k in _SHAPES])
+def windows(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """(positions, 2 * REACH) ids around each position; ids are padded by REACH at both ends of every text."""
+    return np.stack([ids[at + k] for k in (*range(-REACH, 0), *range(1, REACH + 1))], axis=1)
 
 
-def unflat(x: np.ndarray) -> dict[str, np.ndarray]:
-    out, at = {}, len(x) - sum(int(np.prod(s)) for s in _SHAPES.values() if s[0] > 0)
-    for k, s in _SHAPES.items():
-        if s[0] < 0:
-            out[k] = x[:at].reshape(s).astype(np.float32)
-        else:
-            out[k] = x[at : at + int(np.prod(s))].reshape(s).astype(np.float32)
-            at += int(np.prod(s))
-    return out
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    np.multiply(z, 0.5, out=z)
+    np.tanh(z, out=z)
+    z += 1
+    z *= 0.5
+    return z
 
 
-def windows(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """(positions, 2 * REACH) ids around each position; ids are padded by REACH at both ends of every text."""
-    return np.stack([ids[at + k] for k in (*range(-REACH, 0), *range(1, REACH + 1))], axis=1)
+def _by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows, the sums of their values, and how often each came."""
+    keys = rows.astype(np.uint16) if len(rows) and rows.max() < 65536 else rows
+    order = np.argsort(keys, kind="stable")
+    keys = rows[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(values.take(order, axis=0), first, axis=0), np.diff(np.append(first, len(keys)))
 
 
-def step(p: dict[str, np.ndarray], seen: dict[str, np.ndarray], ctx: np.ndarray, target: np.ndarray) -> None:
-    """One step of Adagrad on the cross-entropy of the middle tokens' classes."""
+def gradients(p: dict[str, np.ndarray], vocabulary: Vocabulary, ctx: np.ndarray, target: np.ndarray) -> dict[str, tuple]:
+    """Of the mean -log p(target | window): for each parameter (rows, gradients, times); rows None: of the whole array."""
     n = len(target)
-    # the window's sides stand beside each other, so that each product is one of matrices
-    e, w = p["embed"].take(ctx, axis=0).reshape(n, -1), p["in"].reshape(-1, HIDDEN)
-    h = np.tanh(e @ w + p["b"])
-    z = h @ p["out"] + p["c"]
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    z[np.arange(n), target] -= 1
-    z /= n
-    dh = (z @ p["out"].T) * (1 - h * h)
-    order = np.argsort(ctx.ravel(), kind="stable")
-    ids = ctx.ravel()[order]
-    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-    used = ids[first]
-    de = np.add.reduceat((dh @ w.T).reshape(-1, WIDTH).take(order, axis=0), first, axis=0)
-    grads = {"out": h.T @ z, "c": z.sum(0), "b": dh.sum(0), "in": (e.T @ dh).reshape(p["in"].shape)}
-    past = seen["embed"][used] + de * de
-    seen["embed"][used] = past
-    p["embed"][used] -= RATE * de / np.sqrt(past + 1e-8)
-    for k, g in grads.items():
-        seen[k] += g * g
-        p[k] -= (RATE * g / np.sqrt(seen[k] + 1e-8)).astype(np.float32)
-
-
-def _texts(batches: Iterator[pa.RecordBatch], column: int, ids: Ids) -> Iterator[tuple[int, np.ndarray]]:
-    """(row of its batch, ids) of every text."""
-    for batch in batches:
-        for row, t in enumerate(batch.column(column).to_pylist()):
-            parts = [np.fromiter(map(ids.__getitem__, w), np.int32, len(w)) for w in words(t)]
-            yield row, np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    e = p["embed"].take(ctx, axis=0).reshape(n, -1)
+    h = np.tanh(e @ p["in"] + p["b"])
+    # the nodes near the root, for all positions at once
+    passed = vocabulary.passed.take(target, axis=0)
+    g = _sigmoid(h @ p["node"][:DENSE].T + p["c"][:DENSE])
+    g -= passed == 2
+    g *= passed > 0
+    g /= n
+    dh, top, top_c, times = g @ p["node"][:DENSE], g.T @ h, g.sum(0), (passed > 0).sum(0)
+    out = {"node": (np.arange(DENSE), top, times), "c": (np.arange(DENSE), top_c, times)}
+    # the others, where paths go
+    at, count = _spans(vocabulary.rest_at, target)
+    if len(at):
+        nodes, own = vocabulary.rest_nodes[at], np.repeat(np.arange(n), count)
+        v, hidden = p["node"].take(nodes, axis=0), h.take(own, axis=0)
+        d = _sigmoid(np.einsum("ij,ij->i", hidden, v) + p["c"].take(nodes))
+        d -= vocabulary.rest_turns[at]
+        d /= n
+        v *= d[:, None]
+        some = np.flatnonzero(count)
+        dh[some] += np.add.reduceat(v, (np.cumsum(count) - count)[some], axis=0)
+        hidden *= d[:, None]
+        rows, sums, times = _by_row(nodes, np.concatenate([hidden, d[:, None]], axis=1))
+        for k, part in (("node", sums[:, :-1]), ("c", sums[:, -1])):
+            out[k] = tuple(np.concatenate(x) for x in zip(out[k], (rows, part, times), strict=True))
+    dh *= 1 - h * h
+    out["embed"] = _by_row(ctx.ravel(), (dh @ p["in"].T).reshape(-1, WIDTH))
+    return out | {"in": (None, e.T @ dh, n), "b": (None, dh.sum(0), n)}
+
+
+class Trainer:
+    """Adagrad over the parameters of one partition, and how often each row was trained."""
+
+    def __init__(self, p: dict[str, np.ndarray], vocabulary: Vocabulary):
+        self.p, self.vocabulary, self.done = p, vocabulary, 0
+        self.seen = {k: np.zeros_like(v) for k, v in p.items()}
+        self.times = {k: np.zeros(len(p[k]), np.int64) for k in ("embed", "node")}
+
+    def step(self, ctx: np.ndarray, target: np.ndarray) -> None:
+        self.done += len(target)
+        for k, (rows, g, times) in gradients(self.p, self.vocabulary, ctx, target).items():
+            at = slice(None) if rows is None else rows
+            past = self.seen[k][at] + g * g
+            self.seen[k][at] = past
+            self.p[k][at] -= (RATE * g / np.sqrt(past + 1e-8)).astype(np.float32)
+            if k in self.times:
+                self.times[k][rows] += times
+
+
+def packed(p: dict[str, np.ndarray]) -> np.ndarray:
+    """All parameters as rows of HIDDEN + 1: those of the ids, of the nodes with their bias, of the hidden layer."""
+    wide = lambda x: np.concatenate([x, np.zeros((len(x), HIDDEN + 1 - x.shape[1]), np.float32)], axis=1)
+    return np.concatenate([wide(p["embed"]), np.concatenate([p["node"], p["c"][:, None]], axis=1), wide(p["in"]), wide(p["b"][None])])
+
+
+def unpacked(x: np.ndarray, ids: int) -> dict[str, np.ndarray]:
+    layer = len(x) - 2 * REACH * WIDTH - 1
+    return {"embed": x[:ids, :WIDTH].copy(), "node": x[ids:layer, :HIDDEN].copy(), "c": x[ids:layer, HIDDEN].copy(), "in": x[layer:-1, :HIDDEN].copy(), "b": x[-1, :HIDDEN].copy()}
+
+
+_ENCODED = "row long, doc_id long, n_tokens long, ids binary, less double, rare array<struct<word:binary,tf:long>>"
+
+
+def _encode_part(vocabulary_sent):
+    """Of each text the ids of its words, what its rare words' buckets weigh, and those words, whose counts are to be joined."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = vocabulary_sent.value
+        ids = vocabulary.lookup()
+        for batch in batches:
+            rows, docs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            sizes, bodies, less, first, held, names, times, ends = [], [], [], 0, 0, [], [], [0]
+
+            def out(stop: int) -> pa.RecordBatch:
+                rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(names, pa.binary()), pa.array(times, pa.int64())], ["word", "tf"]))
+                return pa.RecordBatch.from_pydict({"row": pa.array(rows[first:stop], pa.int64()), "doc_id": pa.array(docs[first:stop], pa.int64()), "n_tokens": pa.array(sizes, pa.int64()), "ids": pa.array(bodies, pa.binary()), "less": pa.array(less, pa.float64()), "rare": rare})
+
+            for k, t in enumerate(batch.column(2).to_pylist()):
+                parts, rare = [], Counter()
+                for w in words(t):
+                    x = np.fromiter(map(ids.__getitem__, w), np.int32, len(w))
+                    parts.append(x)
+                    rare.update([w[i] for i in np.flatnonzero((x >= VOCABULARY) & (x < PAD)).tolist()])
+                x = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+                bodies.append(x.astype("<i4").tobytes())
+                sizes.append(len(x))
+                less.append(float(vocabulary.log_rare[x[(x >= VOCABULARY) & (x < PAD)] - VOCABULARY].sum()))
+                names.extend(rare)
+                times.extend(rare.values())
+                ends.append(len(names))
+                held += len(x)
+                if held >= 16 * _BLOCK:
+                    yield out(k + 1)
+                    sizes, bodies, less, first, held, names, times, ends = [], [], [], k + 1, 0, [], [], [0]
+            if bodies:
+                yield out(len(rows))
+
+    return run
 
 
 _EDGE = np.full(REACH, PAD, np.int32)
@@ -178,61 +298,76 @@ _EDGE = np.full(REACH, PAD, np.int32)
 
 def _train_part(sent, vocabulary_sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, vocabulary = unflat(np.frombuffer(sent.value, np.float32).copy()), vocabulary_sent.value
-        seen = {k: np.zeros_like(v) for k, v in p.items()}
-        ctx, target, held, done = [], [], 0, 0
-        part = TaskContext.get().partitionId()
-        for _, x in _texts(batches, 0, vocabulary.lookup()):
-            padded = np.concatenate([_EDGE, x, _EDGE])
-            for a in range(0, len(x), 64 * BATCH):
-                at = np.arange(a, min(a + 64 * BATCH, len(x)))
-                ctx.append(windows(padded, at + REACH))
-                target.append(vocabulary.cls[x[at]])
-                held += len(at)
-                if held >= 64 * BATCH:
-                    done += held
-                    _steps(p, seen, ctx, target)
-                    held = 0
+        vocabulary = vocabulary_sent.value
+        start = np.frombuffer(sent.value, np.float32).reshape(-1, HIDDEN + 1)
+        trainer = Trainer(unpacked(start, vocabulary.size), vocabulary)
+        ctx, target, held = [], [], 0
+        for batch in batches:
+            for body in batch.column(0).to_pylist():
+                x = np.frombuffer(body, "<i4")
+                padded = np.concatenate([_EDGE, x, _EDGE])
+                for a in range(0, len(x), 2 * _BLOCK):
+                    at = np.arange(a, min(a + 2 * _BLOCK, len(x)))
+                    ctx.append(windows(padded, at + REACH))
+                    target.append(x[at])
+                    held += len(at)
+                    if held >= 2 * _BLOCK:
+                        _steps(trainer, ctx, target)
+                        held = 0
         if held:
-            done += held
-            _steps(p, seen, ctx, target)
-        if done:
-            values = flat(p)
-            for k in range(0, len(values), _BLOCK):
-                yield pa.RecordBatch.from_pydict({"block": pa.array([k // _BLOCK], pa.int32()), "part": pa.array([part], pa.int32()), "n": pa.array([done], pa.int64()), "body": pa.array([values[k : k + _BLOCK].tobytes()], pa.binary())})
-
-    def _steps(p, seen, ctx, target) -> None:
+            _steps(trainer, ctx, target)
+        if trainer.done:
+            layer = np.full(2 * REACH * WIDTH + 1, trainer.done)
+            weights = np.concatenate([trainer.times["embed"], trainer.times["node"], layer])
+            yield from _sent(TaskContext.get().partitionId(), np.flatnonzero(weights), packed(trainer.p), weights)
+
+    def _steps(trainer, ctx, target) -> None:
         c, t = np.concatenate(ctx), np.concatenate(target)
         order = np.random.default_rng(len(t)).permutation(len(t))
         for k in range(0, len(t), BATCH):
-            step(p, seen, c[order[k : k + BATCH]], t[order[k : k + BATCH]])
+            trainer.step(c[order[k : k + BATCH]], t[order[k : k + BATCH]])
         ctx.clear()
         target.clear()
 
     return run
 
 
+def _sent(part: int, rows: np.ndarray, values: np.ndarray, weights: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows that were trained, by blocks of _ROWS rows of the parameters; values and weights are of all rows."""
+    for block in np.unique(rows // _ROWS):
+        own = rows[rows // _ROWS == block]
+        one = {"block": pa.array([block], pa.int32()), "part": pa.array([part], pa.int32()), "rows": pa.array([own.astype(np.int64).tobytes()], pa.binary())}
+        yield pa.RecordBatch.from_pydict(one | {"n": pa.array([weights[own].astype(np.int64).tobytes()], pa.binary()), "body": pa.array([values[own].astype(np.float32).tobytes()], pa.binary())})
+
+
 def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the blocks dealt to a task, one row at a time: means weighted by positions, and their weight."""
-    sums: dict[int, list] = {}
+    """Of the (block, part) groups dealt to a task, sorted by them and so held one at a time: means weighted by how often a row was trained."""
+    now, sums, n = None, None, None
+
+    def out() -> Iterator[pa.RecordBatch]:
+        if now is not None:
+            some = np.flatnonzero(n)
+            block, part = now
+            one = {"block": pa.array([block], pa.int32()), "part": pa.array([part], pa.int32()), "rows": pa.array([(block * _ROWS + some).tobytes()], pa.binary())}
+            yield pa.RecordBatch.from_pydict(one | {"n": pa.array([n[some].tobytes()], pa.binary()), "body": pa.array([(sums[some] / n[some, None]).astype(np.float32).tobytes()], pa.binary())})
+
     for batch in batches:
-        for block, part, n, body in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-            x = np.frombuffer(body, np.float32).astype(np.float64) * n
-            s = sums.setdefault(block, [np.zeros_like(x), 0, part])
-            s[0] += x
-            s[1] += n
-    for block, (x, n, part) in sums.items():
-        yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "part": pa.array([part], pa.int32()), "n": pa.array([n], pa.int64()), "body": pa.array([(x / n).astype(np.float32).tobytes()], pa.binary())})
+        for block, part, rows, times, body in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            if now != (block, part):
+                yield from out()
+                now, sums, n = (block, part), np.zeros((_ROWS, HIDDEN + 1)), np.zeros(_ROWS, np.int64)
+            at, w = np.frombuffer(rows, np.int64) - block * _ROWS, np.frombuffer(times, np.int64)
+            sums[at] += np.frombuffer(body, np.float32).reshape(-1, HIDDEN + 1).astype(np.float64) * w[:, None]
+            n[at] += w
+    yield from out()
 
 
-_PARAMETERS = "block int, part int, n long, body binary"
-#: Groups of partitions whose parameters are averaged first.
-_GROUPS = 64
+_PARAMETERS = "block int, part int, rows binary, n binary, body binary"
 
 
 def own_words(total: int) -> int:
-    """How many words of a corpus of so many tokens are tokens of their own: with the root, so that the parameters stay far smaller than the corpus."""
-    return max(VOCABULARY, 2 * math.isqrt(total))
+    """How many words of a corpus of so many tokens are tokens of their own: with the cube root, so that any worker can hold them."""
+    return max(VOCABULARY, round(40 * total ** (1 / 3)))
 
 
 def vocabulary_of(docs: DataFrame) -> tuple[Vocabulary, DataFrame]:
@@ -256,46 +391,51 @@ def vocabulary_of(docs: DataFrame) -> tuple[Vocabulary, DataFrame]:
     return Vocabulary(rows, n, {int(r["bucket"]): int(r["n"]) for r in masses}), rare
 
 
+def train(encoded: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
+    """Parameters after `rounds` passes over every position of encoded (ids binary)."""
+    sc = encoded.sparkSession.sparkContext
+    told, values = sc.broadcast(vocabulary), packed(initial(vocabulary))
+    for _ in range(rounds):
+        sent = sc.broadcast(values.tobytes())
+        parts = scratch(encoded.select("ids").mapInArrow(_train_part(sent, told), _PARAMETERS), "trained")
+        while True:
+            most = parts.agg(F.max("part")).first()[0] or 0
+            grouped = parts.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int"))
+            parts = grouped.repartition("block", "part").sortWithinPartitions("block", "part").mapInArrow(_average, _PARAMETERS)
+            if most < FAN_IN:
+                break
+            parts = scratch(parts, "averaged")
+        for r in parts.collect():  # the parameters, once
+            values[np.frombuffer(r["rows"], np.int64)] = np.frombuffer(r["body"], np.float32).reshape(-1, HIDDEN + 1)
+    return unpacked(values, vocabulary.size)
+
+
 class Network:
     """Trained tables: for each side position the hidden contribution of every id."""
 
     def __init__(self, p: dict[str, np.ndarray]):
-        self.tables = [p["embed"] @ w for w in p["in"]]
-        self.b, self.out, self.c = p["b"], p["out"], p["c"]
+        self.tables = [p["embed"] @ w for w in p["in"].reshape(2 * REACH, WIDTH, HIDDEN)]
+        self.b, self.node, self.c = p["b"], p["node"], p["c"]
 
     def log_probs(self, ids: np.ndarray, at: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
         """log p(token | both sides) at the positions of a padded sequence."""
         out = np.empty(len(at))
         for a in range(0, len(at), _BLOCK):
             k = at[a : a + _BLOCK]
-            h = self.b + self.tables[0][ids[k - REACH]]
+            h = self.b + self.tables[0].take(ids[k - REACH], axis=0)
             for table, shift in zip(self.tables[1:], (*range(1 - REACH, 0), *range(1, REACH + 1)), strict=True):
-                h += table[ids[k + shift]]
-            z = np.tanh(h, out=h) @ self.out
-            z += self.c
-            z -= z.max(axis=1, keepdims=True)
-            own = z[np.arange(len(k)), vocabulary.cls[ids[k]]]
-            np.exp(z, out=z)
-            out[a : a + len(k)] = own - np.log(z.sum(axis=1)) + vocabulary.inside[ids[k]]
+                h += table.take(ids[k + shift], axis=0)
+            np.tanh(h, out=h)
+            path, count = _spans(vocabulary.at, ids[k])
+            nodes = vocabulary.nodes[path]
+            z = np.einsum("ij,ij->i", np.repeat(h, count, axis=0), self.node.take(nodes, axis=0))
+            z += self.c.take(nodes)
+            z *= 1 - 2 * vocabulary.turns[path]  # log p(first) = -log(1 + e^z), log p(second) = -log(1 + e^-z)
+            steps = np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z)))
+            out[a : a + len(k)] = -np.add.reduceat(steps, np.cumsum(count) - count, dtype=np.float64)
         return out
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Network:
-    spark, texts = docs.sparkSession, docs.select("text")
-    told = spark.sparkContext.broadcast(vocabulary)
-    values = flat(initial(vocabulary)).astype(np.float32)
-    for _ in range(rounds):
-        sent = spark.sparkContext.broadcast(values.tobytes())
-        parts = texts.mapInArrow(_train_part(sent, told), _PARAMETERS)
-        # in two steps: what many partitions send never meets in one task
-        some = parts.repartition(F.col("block"), F.col("part") % _GROUPS).sortWithinPartitions("block", "part").mapInArrow(_average, _PARAMETERS)
-        mean = some.repartition("block").sortWithinPartitions("block", "part").mapInArrow(_average, _PARAMETERS)
-        for r in mean.collect():
-            got = np.frombuffer(r["body"], np.float32)
-            values[r["block"] * _BLOCK : r["block"] * _BLOCK + len(got)] = got
-    return Network(unflat(values))
-
-
 def score_texts(texts: list[np.ndarray], vocabulary: Vocabulary, network: Network) -> list[float]:
     """Summed log-probabilities of id sequences."""
     if not texts:
@@ -307,42 +447,21 @@ def score_texts(texts: list[np.ndarray], vocabulary: Vocabulary, network: Networ
     return np.bincount(owner, network.log_probs(ids, at, vocabulary), len(texts)).tolist()
 
 
-_SCORED = "row long, doc_id long, n_tokens long, log_prob double, rare array<struct<word:binary,tf:long>>"
-
-
 def _score_part(vocabulary_sent, network_sent):
-    """Of each text the log-probability of its tokens, with rare words at one over their buckets' tokens, and its rare words, whose counts are to be joined."""
+    """Of each encoded text the log-probability of its tokens, with rare words at one over their buckets' tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, network = vocabulary_sent.value, network_sent.value
-        ids = vocabulary.lookup()
         for batch in batches:
-            rows, docs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            block, first, less, held, names, times, ends = [], 0, [], 0, [], [], [0]
-
-            def out(stop: int) -> pa.RecordBatch:
-                sums = np.array(score_texts(block, vocabulary, network)) - less
-                rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(names, pa.binary()), pa.array(times, pa.int64())], ["word", "tf"]))
-                return pa.RecordBatch.from_pydict({"row": pa.array(rows[first:stop], pa.int64()), "doc_id": pa.array(docs[first:stop], pa.int64()), "n_tokens": pa.array([len(x) for x in block], pa.int64()), "log_prob": pa.array(sums, pa.float64()), "rare": rare})
-
-            for k, t in enumerate(batch.column(2).to_pylist()):
-                parts, rare = [], Counter()
-                for w in words(t):
-                    x = np.fromiter(map(ids.__getitem__, w), np.int32, len(w))
-                    parts.append(x)
-                    rare.update([w[i] for i in np.flatnonzero((x >= VOCABULARY) & (x < PAD)).tolist()])
-                block.append(np.concatenate(parts) if parts else np.zeros(0, np.int32))
-                x = block[-1]
-                less.append(float(vocabulary.log_rare[x[(x >= VOCABULARY) & (x < PAD)] - VOCABULARY].sum()))
-                names.extend(rare)
-                times.extend(rare.values())
-                ends.append(len(names))
-                held += len(x)
+            texts, sums, held, block = batch.column(1).to_pylist(), [], 0, []
+            for body in texts:
+                block.append(np.frombuffer(body, "<i4"))
+                held += len(block[-1])
                 if held >= 8 * _BLOCK:
-                    yield out(k + 1)
-                    block, first, less, held, names, times, ends = [], k + 1, [], 0, [], [], [0]
-            if block:
-                yield out(len(rows))
+                    sums += score_texts(block, vocabulary, network)
+                    block, held = [], 0
+            sums += score_texts(block, vocabulary, network)
+            yield pa.RecordBatch.from_pydict({"row": batch.column(0), "doc_id": batch.column(2), "n_tokens": batch.column(3), "log_prob": pa.array(np.array(sums) - batch.column(4).to_numpy(), pa.float64())})
 
     return run
 
@@ -357,12 +476,13 @@ def score(docs: DataFrame) -> DataFrame:
     """
     sc = docs.sparkSession.sparkContext
     vocabulary, rare = vocabulary_of(docs)
-    network = train(docs, vocabulary)
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scored = scratch(texts.mapInArrow(_score_part(sc.broadcast(vocabulary), sc.broadcast(network)), _SCORED), "scored")
+    encoded = scratch(texts.mapInArrow(_encode_part(sc.broadcast(vocabulary)), _ENCODED), "encoded")
+    network = Network(train(encoded, vocabulary))
+    scored = encoded.select("row", "ids", "doc_id", "n_tokens", "less").mapInArrow(_score_part(sc.broadcast(vocabulary), sc.broadcast(network)), "row long, doc_id long, n_tokens long, log_prob double")
     # a word that occurs once adds log 1 = 0; frequent words are not here, so no key is hot
     known = rare.where("n > 1").select("word", F.log("n").alias("log_n"))
-    found = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.tf").join(known.hint("shuffle_hash"), "word")
+    found = encoded.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.tf").join(known.hint("shuffle_hash"), "word")
     more = found.groupBy("row").agg(F.sum(F.col("tf") * F.col("log_n")).alias("more"))
-    rows = scored.drop("rare").join(more, "row", "left").select("doc_id", "n_tokens", (F.col("log_prob") + F.coalesce("more", F.lit(0.0))).alias("log_prob"))
+    rows = scored.join(more, "row", "left").select("doc_id", "n_tokens", (F.col("log_prob") + F.coalesce("more", F.lit(0.0))).alias("log_prob"))
     return rows.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))

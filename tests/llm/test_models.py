@@ -168,30 +168,96 @@ def test_lm_score(spark, sf):
 
 
 def test_lm_odd_rows_and_learning(spark):
-    rows = [(i, "the cat sat on the mat and the dog ran " * 12) for i in range(400)] + [(1000 + i, "zu der von mit und ein ist das " * 12) for i in range(400)]
+    rows = [(20_000 + i, "the cat sat on the mat and the dog ran " * 12) for i in range(400)] + [(1000 + i, "zu der von mit und ein ist das " * 12) for i in range(400)]
     mixed = "the zu cat der sat von on mit the und mat ein and ist the das dog zu ran der " * 6
     shuffled = (9999, " ".join(np.random.default_rng(2).permutation(mixed.split())))
     d = table(spark, rows + ODD + [shuffled])
     got = {r["doc_id"]: r for r in lm_score.score(d).collect()}
     assert got[1]["n_tokens"] == got[2]["n_tokens"] == 0 and got[1]["log_prob"] == 0 and got[1]["mean_log_prob"] is None
     assert got[7]["n_tokens"] == 40_000
-    assert got[0]["mean_log_prob"] > got[9999]["mean_log_prob"] + 0.5
+    assert got[20_000]["mean_log_prob"] > got[9999]["mean_log_prob"] + 0.5
     assert lm_score.score(d.limit(0)).count() == 0
 
 
 def test_lm_is_normalised():
     vocabulary = lm_score.Vocabulary([(b"a", 10), (b"b", 5), (b"c", 1)], 20)
-    inside = np.exp(vocabulary.inside[:-1])
-    assert np.bincount(vocabulary.cls[:-1], inside)[np.unique(vocabulary.cls[:-1])] == pytest.approx(1.0)
-    net = lm_score.Network(lm_score.initial(vocabulary))
+    p = lm_score.initial(vocabulary)
     ids = vocabulary.lookup()
     x = np.array([ids[w] for w in (b"a", b"b", b"rare", b"a")], np.int32)
-    total = 0.0
-    for t in range(lm_score.PAD):
-        y = np.concatenate([lm_score._EDGE, x[:1], [t], x[2:], lm_score._EDGE]).astype(np.int32)
-        total += float(np.exp(net.log_probs(y, np.array([3]), vocabulary)[0]))
-    assert total == pytest.approx(1.0, rel=1e-4)
-    assert unicodedata.normalize("NFC", "é") == "é"
+
+    def all_of(net, left):
+        out = {}
+        for t in (0, 1, 2, *range(lm_score.VOCABULARY, lm_score.PAD)):
+            y = np.concatenate([lm_score._EDGE, [left, t], x[2:], lm_score._EDGE]).astype(np.int32)
+            out[t] = float(np.exp(net.log_probs(y, np.array([3]), vocabulary)[0]))
+        return out
+
+    probs = all_of(lm_score.Network(p), 0)
+    assert sum(probs.values()) == pytest.approx(1.0, rel=1e-4)
+    # words of like frequency answer to the context, each in its own way
+    other = all_of(lm_score.Network(p), 1)
+    ratios = [probs[a] / probs[b] / (other[a] / other[b]) for a, b in ((1, 2), (lm_score.VOCABULARY, lm_score.VOCABULARY + 1))]
+    assert all(abs(math.log(r)) > 1e-4 for r in ratios)
+
+
+def test_lm_starts_as_the_unigram():
+    vocabulary = lm_score.Vocabulary([(b"a", 70), (b"b", 20), (b"c", 10)], 100, {})
+    p = lm_score.initial(vocabulary)
+    p["node"][:] = 0
+    y = np.concatenate([lm_score._EDGE, [0, 1, 2], lm_score._EDGE]).astype(np.int32)
+    got = np.exp(lm_score.Network(p).log_probs(y, np.array([2, 3, 4]), vocabulary))
+    n = np.array([70.5, 20.5, 10.5])
+    assert got == pytest.approx(n / (n.sum() + 0.5 * lm_score.RARE), rel=1e-4)
+
+
+@pytest.mark.parametrize("words", [3, 400])
+def test_lm_gradients(words):
+    """Finite differences of the mean loss, in double precision; with 400 words paths leave the dense nodes."""
+    vocabulary = lm_score.Vocabulary([(b"w%d" % k, 1000 - 2 * k) for k in range(words)], 10**6, {0: 50})
+    p = {k: v.astype(np.float64) for k, v in lm_score.initial(vocabulary).items()}
+    assert (len(vocabulary.rest_nodes) > 100) == (words == 400)
+    rng = np.random.default_rng(5)
+    seq = np.concatenate([lm_score._EDGE, vocabulary.ids[rng.integers(0, words, 40)], [lm_score.VOCABULARY], lm_score._EDGE]).astype(np.int32)
+    at = np.arange(lm_score.REACH, len(seq) - lm_score.REACH)
+
+    def loss():
+        return -lm_score.Network(p).log_probs(seq, at, vocabulary).mean()
+
+    for name, (rows, g, _) in lm_score.gradients(p, vocabulary, lm_score.windows(seq, at), seq[at]).items():
+        full = np.zeros_like(p[name])
+        full[slice(None) if rows is None else rows] = g
+        for k in np.argsort(-np.abs(full), axis=None)[:4]:
+            where = np.unravel_index(k, full.shape)
+            old = p[name][where]
+            p[name][where] = old + 1e-5
+            up = loss()
+            p[name][where] = old - 1e-5
+            down = loss()
+            p[name][where] = old
+            assert (up - down) / 2e-5 == pytest.approx(full[where], rel=1e-3, abs=1e-8), name
+
+
+def test_lm_document_sum_is_a_plain_loop():
+    vocabulary = lm_score.Vocabulary([(b"w%d" % k, 500 - k) for k in range(200)], 10**5)
+    p = lm_score.initial(vocabulary)
+    rng = np.random.default_rng(1)
+    texts = [rng.integers(0, 200, n).astype(np.int32) for n in (1, 2, 30, 0)]
+
+    def plain(x):
+        total = 0.0
+        for i in range(len(x)):
+            h = p["b"].astype(float)
+            for j, k in enumerate((-2, -1, 1, 2)):
+                token = x[i + k] if 0 <= i + k < len(x) else lm_score.PAD
+                h = h + p["embed"][token].astype(float) @ p["in"][j * lm_score.WIDTH : (j + 1) * lm_score.WIDTH]
+            h = np.tanh(h)
+            for a in range(vocabulary.at[x[i]], vocabulary.at[x[i] + 1]):
+                node = vocabulary.nodes[a]
+                q = 1 / (1 + math.exp(-(float(h @ p["node"][node]) + p["c"][node])))
+                total += math.log(q if vocabulary.turns[a] else 1 - q)
+        return total
+
+    assert lm_score.score_texts(texts, vocabulary, lm_score.Network(p)) == pytest.approx([plain(x) for x in texts], rel=1e-5)
 
 
 def test_lm_rare_words_have_their_own_share(spark, monkeypatch):
@@ -211,23 +277,53 @@ def test_lm_vocabulary_grows():
     ids = vocabulary.lookup()
     got = [ids[w] for w, _ in words]
     assert len(set(got)) == 5000 and not {lm_score.PAD, *range(lm_score.VOCABULARY, lm_score.PAD)}.intersection(got)
-    inside = np.delete(np.exp(vocabulary.inside), lm_score.PAD)
-    classes = np.delete(vocabulary.cls, lm_score.PAD)
-    assert np.bincount(classes, inside)[np.unique(classes)] == pytest.approx(1.0)
+    paths = {tuple(zip(vocabulary.nodes[a:b].tolist(), vocabulary.turns[a:b].tolist(), strict=True)) for a, b in zip(vocabulary.at[:-1], vocabulary.at[1:], strict=True) if b > a}
+    assert len(paths) == 5000 + lm_score.RARE and sum(2.0 ** -len(x) for x in paths) == 1.0
     p = lm_score.initial(vocabulary)
-    again = lm_score.unflat(lm_score.flat(p))
+    again = lm_score.unpacked(lm_score.packed(p), vocabulary.size)
     assert all((p[k] == again[k]).all() for k in p) and len(p["embed"]) == 5000 + lm_score.RARE + 1
 
 
-def test_lm_trains_on_every_position(monkeypatch):
+def trained(monkeypatch, vocabulary, texts, part=0):
     from types import SimpleNamespace
 
     import pyarrow as pa
 
-    monkeypatch.setattr(lm_score, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    monkeypatch.setattr(lm_score, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: part)))
+    told = SimpleNamespace(value=vocabulary)
+    batch = pa.RecordBatch.from_pydict({"row": pa.array(range(len(texts)), pa.int64()), "doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})
+    encoded = [x.select(["ids"]) for x in lm_score._encode_part(told)(iter([batch]))]
+    sent = SimpleNamespace(value=lm_score.packed(lm_score.initial(vocabulary)).tobytes())
+    return list(lm_score._train_part(sent, told)(iter(encoded)))
+
+
+def test_lm_trains_on_every_position(monkeypatch):
     vocabulary = lm_score.Vocabulary([(b"a", 10), (b"b", 5)], 20)
-    sent = SimpleNamespace(value=lm_score.flat(lm_score.initial(vocabulary)).tobytes())
     texts = ["a", "b a b", "a b " * 20_000, "", None, "b"]
-    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
-    got = list(lm_score._train_part(sent, SimpleNamespace(value=vocabulary))(iter([batch])))
-    assert got[0].column(2).to_pylist() == [sum(len((t or "").split()) for t in texts)]
+    n = sum(len((t or "").split()) for t in texts)
+    times = {}
+    for x in trained(monkeypatch, vocabulary, texts):
+        times |= dict(zip(np.frombuffer(x.column(2)[0].as_py(), np.int64), np.frombuffer(x.column(3)[0].as_py(), np.int64), strict=True))
+    assert times[max(times)] == n  # the hidden layer
+    assert times[vocabulary.size] == n  # the root
+    words = Counter(w for t in texts for w in (t or "").split())
+    assert vocabulary.size + vocabulary.count > max(times) - 70 and times[0] + times[1] < 4 * sum(words.values())
+
+
+def test_lm_averages_in_a_tree(spark, monkeypatch):
+    """Any fan-in gives the same weighted means, and rows that no partition trained keep their start."""
+    words = "the cat sat on a mat".split()
+    rows = [(i, " ".join(words[(i + k) % 6] for k in range(20))) for i in range(200)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    vocabulary, _ = lm_score.vocabulary_of(d)
+    told = spark.sparkContext.broadcast(vocabulary)
+    texts = d.select(F.lit(0).cast("long").alias("row"), "doc_id", "text")
+    encoded = lm_score.scratch(texts.mapInArrow(lm_score._encode_part(told), lm_score._ENCODED), "encoded")
+    whole = lm_score.train(encoded, vocabulary)
+    monkeypatch.setattr(lm_score, "FAN_IN", 2)
+    tree = lm_score.train(encoded, vocabulary)
+    start = lm_score.initial(vocabulary)
+    for k, v in whole.items():
+        assert tree[k] == pytest.approx(v, rel=1e-4, abs=1e-5)
+    assert (whole["embed"][lm_score.VOCABULARY] == start["embed"][lm_score.VOCABULARY]).all()
+    assert (whole["embed"][:6] != start["embed"][:6]).any()
