@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The white space of all contracts: [\x20\x09-\x0D].
@@ -41,6 +41,16 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, order: list[Column]) -> DataFrame:
+    """df with `number`, from 0, along a total order: ranges are sorted each for itself, and numbers start after the rows of the ranges before."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = scratch(ranged.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_at")), "placed")
+    counts = placed.groupBy("_part").agg(F.count("*").alias("n"))
+    # a row for each partition
+    before = counts.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_before"))
+    return placed.join(F.broadcast(before), "_part").select(*df.columns, (F.col("_before") + F.col("_at")).alias("number"))
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Deletes this application's scratch tables; call it when their results have been written."""
     sc = spark.sparkContext

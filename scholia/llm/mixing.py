@@ -4,21 +4,21 @@ Targets: a source's share follows its weight, is clamped at `epochs` times its s
 shared again by weight until nothing is above. Documents are then repeated whole `floor(target / size)`
 times, and one further time where their seeded hash lies below a threshold of the source, which is
 found so that the words taken miss the target by less than one document. Thresholds come from sums by
-hash prefix (12 bits a level), so no source, however large, meets in one task.
+hash prefix (12 bits a level), so no source, however large, meets in one task. Texts never move: the
+table of sources is broadcast, whole where it is small and else in pieces of bounded size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholia.llm.common import WORD, scratch
+from scholia.llm.common import WORD, numbered, scratch
 
-#: Sources are named by a weight table on the driver; more than this is refused.
-MAX_SOURCES = 1_000_000
+#: Up to so many sources, of so many bytes of names, are planned on the driver and broadcast whole; beyond that they are planned as a table and broadcast in pieces.
+FEW_SOURCES, FEW_BYTES = 100_000, 16 << 20
 _BITS, _ALL, _FEW = 12, 60, 4096
 
 
@@ -53,54 +53,111 @@ def water_fill(sizes: dict[str | None, int], weights: dict[str | None, int], epo
     return {s: targets.get(s, Fraction(0)) for s in sizes}
 
 
-def plan(docs: DataFrame, weights_of: Callable = cyclic_weights, epochs: int = 3, seed: str = "mix") -> tuple[DataFrame, DataFrame]:
-    """(sized, sources): sized has doc_id, source, size and u for each row; sources has, for each source,
-    source_size, target, whole (repetitions for every document) and upto (a document with u <= upto gets one more).
+_FACTS = "source string, source_size long, target double, whole int, twice long"
 
-    Null texts have size 0; null is a source like another, the last; a source without words has target 0.
-    Repeated rows share their fate. An empty table gives two empty ones.
-    """
-    spark = docs.sparkSession
-    sized = scratch(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), seeded(F.col("doc_id"), seed).alias("u")), "sizes")
-    rows = sized.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    sizes = {r["source"]: int(r["n"]) for r in rows}
-    targets = water_fill(sizes, weights_of(list(sizes)), epochs)
+
+def _few_facts(sums: DataFrame, weights: DataFrame | None, epochs: int) -> DataFrame:
+    """Targets of sources that fit the driver."""
+    sizes = {r["source"]: int(r["source_size"]) for r in sums.collect()}
+    given = cyclic_weights(list(sizes)) if weights is None else {r["source"]: r["weight"] for r in weights.collect()}
     facts = []
-    for s, t in targets.items():
+    for s, t in water_fill(sizes, given, epochs).items():
         n = sizes[s]
         whole = int(t // n) if n else 0
         need = t - whole * n  # words of the fractional repetition
         # a document is in it if before + upto <= 2 * need, in integers: so the last one is rounded, not cut
         facts.append((s, n, t.numerator / t.denominator, whole, int(2 * need // 1)))
-    schema = "source string, source_size long, target double, whole int, twice long"
-    found = spark.createDataFrame(facts, schema).withColumns({"base": F.lit(0).cast("long"), "prefix": F.lit(0).cast("long")})
+    return sums.sparkSession.createDataFrame(facts, _FACTS)
+
+
+def _many_facts(sums: DataFrame, weights: DataFrame | None, epochs: int) -> DataFrame:
+    """The same of any number of sources: the level of the water is two numbers, which rise until no further source is above them."""
+    if weights is None:
+        weighed = numbered(sums, [F.col("source").isNull(), F.col("source")]).select("source", "source_size", (1 + F.col("number") % 3).alias("weight"))
+    else:
+        given = weights.select(F.col("source").alias("_source"), "weight")
+        weighed = sums.join(given, sums["source"].eqNullSafe(given["_source"]), "left").select("source", "source_size", F.coalesce("weight", F.lit(0)).cast("long").alias("weight"))
+    weighed = scratch(weighed, "weights")
+    whole_number = lambda x: F.lit(str(x)).cast("decimal(38,0)")
+    size, weight = F.col("source_size").cast("decimal(20,0)"), F.col("weight").cast("decimal(18,0)")
+    total = int(weighed.agg(F.sum(size)).first()[0] or 0)
+    left, sharing = total, int(weighed.agg(F.sum(weight)).first()[0] or 0)
+    while sharing:
+        # left / sharing is what a unit of weight gets; products of big numbers stay decimals of 38 digits
+        above = (weight > 0) & (size * whole_number(epochs * sharing) < weight * whole_number(left))
+        held, out = weighed.where(above).agg(F.sum(size), F.sum(weight)).first()
+        then = total - epochs * int(held or 0), int(weighed.agg(F.sum(weight)).first()[0]) - int(out or 0)
+        if then == (left, sharing):
+            break
+        left, sharing = then
+    num = weight * whole_number(left)
+    shares = whole_number(max(sharing, 1))
+    capped = (weight > 0) & (size * whole_number(epochs * max(sharing, 1)) < num) if sharing else weight > 0
+    target = F.when(weight <= 0, F.lit(0.0)).when(capped, (size * epochs).cast("double")).otherwise(num.cast("double") / shares.cast("double"))
+    # whole and need in integers: num = shares * need_words, of which source_size * whole are whole repetitions
+    words = F.floor(2 * num / shares)
+    whole = F.when((weight <= 0) | (size == 0), F.lit(0)).when(capped, F.lit(epochs)).otherwise(F.floor(num / (shares * size))).cast("int")
+    twice = F.when((weight <= 0) | capped | (size == 0), F.lit(0)).otherwise(words - 2 * whole * F.col("source_size")).cast("long")
+    return weighed.select("source", "source_size", target.alias("target"), whole.alias("whole"), twice.alias("twice"))
+
+
+def plan(docs: DataFrame, weights: DataFrame | None = None, epochs: int = 3, seed: str = "mix") -> tuple[DataFrame, DataFrame]:
+    """(sized, sources): sized has doc_id, source, size and u for each row; sources has, for each source,
+    source_size, target, whole (repetitions for every document) and upto (a document with u <= upto gets one more).
+
+    weights: source, weight; None: 1, 2, 3, 1, ... by code point. Null texts have size 0; null is a source
+    like another, the last; a source without words has target 0. Repeated rows share their fate. An empty
+    table gives two empty ones. Any number of sources is planned.
+    """
+    sized = scratch(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), seeded(F.col("doc_id"), seed).alias("u")), "sizes")
+    sums = scratch(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "sums")
+    facts = scratch((_few_facts if _pieces(sums) == 1 else _many_facts)(sums, weights, epochs), "facts")
+    few = _pieces(facts) == 1
+    found = facts.select("source", "twice", F.lit(0).cast("long").alias("base"), F.lit(0).cast("long").alias("prefix"))
     # level by level: the sums below each prefix name the one prefix in which the threshold lies
     for shift in range(_ALL - _BITS, -1, -_BITS):
-        inside = _with_source(sized, found).where(F.shiftright("u", shift + _BITS) == F.col("prefix"))
-        sums = inside.groupBy("source", F.shiftright("u", shift).alias("p")).agg(F.sum("size").alias("n"), F.count("*").alias("rows"), F.first("twice").alias("twice"), F.first("base").alias("base"))
+        sums = _inside(sized, found, shift + _BITS, few).groupBy("source", F.shiftright("u", shift).alias("p")).agg(F.sum("size").alias("n"), F.count("*").alias("rows"), F.first("twice").alias("twice"), F.first("base").alias("base"))
         w = Window.partitionBy("source").orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         over = sums.withColumn("upto", F.col("base") + F.sum("n").over(w)).where(2 * F.col("upto") > F.col("twice"))
-        edge = over.groupBy("source").agg(F.min_by(F.struct("p", (F.col("upto") - F.col("n")).alias("base"), "rows"), "p").alias("e")).select("source", "e.*").collect()
-        at = {r["source"]: r for r in edge}
-        found = spark.createDataFrame([(*f, at[f[0]]["base"] if f[0] in at else 0, at[f[0]]["p"] if f[0] in at else -1) for f in facts], f"{schema}, base long, prefix long")
-        if shift == 0 or max([0, *(r["rows"] for r in edge)]) <= _FEW:
+        edge = over.groupBy("source").agg(F.min_by(F.struct("p", (F.col("upto") - F.col("n")).alias("base"), "rows"), "p").alias("e")).select(F.col("source").alias("_source"), "e.*")
+        joined = facts.join(edge, facts["source"].eqNullSafe(edge["_source"]), "left")
+        # no edge (-1): the threshold is above all documents
+        found = scratch(joined.select("source", "twice", F.coalesce("base", F.lit(0)).alias("base"), F.coalesce("p", F.lit(-1)).alias("prefix"), F.coalesce("rows", F.lit(0)).alias("rows")), "found")
+        if shift == 0 or (found.agg(F.max("rows")).first()[0] or 0) <= _FEW:
             break
     # the last prefix holds few rows a source (or equal hashes): the exact end
-    inside = _with_source(sized, found).where(F.shiftright("u", shift) == F.col("prefix")).groupBy("source", "u").agg(F.sum("size").alias("n"), F.first("twice").alias("twice"), F.first("base").alias("base"))
+    inside = _inside(sized, found.drop("rows"), shift, few).groupBy("source", "u").agg(F.sum("size").alias("n"), F.first("twice").alias("twice"), F.first("base").alias("base"))
     w = Window.partitionBy("source").orderBy("u").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = inside.withColumn("upto", F.col("base") + F.sum("n").over(w)).where(2 * F.col("upto") - F.col("n") <= F.col("twice")).groupBy("source").agg(F.max("u").alias("u"))
-    ends = {r["source"]: r["u"] for r in last.collect()}
-    edges = {r["source"]: r["prefix"] for r in found.collect()}
-    upto = lambda s: ends[s] if s in ends else (1 << 62 if edges[s] < 0 else (edges[s] << shift) - 1)  # noqa: E731  no edge: all documents
-    return sized, spark.createDataFrame([(*f[:4], upto(f[0])) for f in facts], "source string, source_size long, target double, whole int, upto long")
+    last = last.select(F.col("source").alias("_last"), "u")
+    ends = found.select(F.col("source").alias("_source"), "prefix")
+    out = facts.join(ends, facts["source"].eqNullSafe(ends["_source"])).join(last, facts["source"].eqNullSafe(last["_last"]), "left")
+    upto = F.coalesce("u", F.when(F.col("prefix") < 0, F.lit(1 << 62)).otherwise(F.shiftleft("prefix", shift) - 1))
+    return sized, scratch(out.select("source", "source_size", "target", "whole", upto.alias("upto")), "sources")
+
+
+def _inside(sized: DataFrame, found: DataFrame, shift: int, few: bool) -> DataFrame:
+    """Rows whose hash has the prefix of their source; a join by source and prefix, so that a large source is many keys."""
+    right = found.select(F.col("source").alias("_source"), "twice", "base", "prefix")
+    return sized.join(F.broadcast(right) if few else right, sized["source"].eqNullSafe(right["_source"]) & (F.shiftright(sized["u"], shift) == right["prefix"])).drop("_source", "prefix")
+
+
+def _pieces(sources: DataFrame) -> int:
+    """In how many pieces of bounded size a table of sources is broadcast."""
+    n, size = sources.agg(F.count("*"), F.sum(F.coalesce(F.octet_length("source"), F.lit(0)) + 64)).first()
+    return max(1, -(-n // FEW_SOURCES), -(-(size or 0) // FEW_BYTES))
 
 
 def _with_source(df: DataFrame, sources: DataFrame) -> DataFrame:
-    """Spark broadcasts the sources where they are small by its own figures; null meets null."""
+    """df's rows with the facts of their source; null meets null. df is scanned once for each piece of the sources and never shuffled."""
     right = sources.withColumnRenamed("source", "_source")
-    return df.join(right, df["source"].eqNullSafe(right["_source"])).drop("_source")
+    pieces, out = _pieces(sources), None
+    for k in range(pieces):
+        own = lambda c: F.pmod(F.xxhash64(c), F.lit(pieces)) == k  # noqa: B023, E731
+        left, part = (df, right) if pieces == 1 else (df.where(own("source")), right.where(own("_source")))
+        met = left.join(F.broadcast(part), left["source"].eqNullSafe(part["_source"])).drop("_source")
+        out = met if out is None else out.unionByName(met)
+    return out
 
 
 def repetitions() -> Column:
@@ -115,7 +172,7 @@ def mix_table(docs: DataFrame, **how) -> DataFrame:
 
 
 def mix(docs: DataFrame, seed: str = "mix", **how) -> DataFrame:
-    """docs with each row as often as the mix takes it, and none other; texts are not shuffled."""
+    """docs with each row as often as the mix takes it, and none other. Texts are neither shuffled nor broadcast."""
     _, sources = plan(docs, seed=seed, **how)
     columns = docs.columns
     kept = docs.select(F.struct("*").alias("_row"), "source", seeded(F.col("doc_id"), seed).alias("u"))

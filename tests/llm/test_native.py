@@ -58,6 +58,41 @@ def test_quality(spark):
     assert {x["rule"].name for x in plan} == {r.name for r in quality.RULES} and all(0 <= x["share"] <= 1 for x in plan)
 
 
+def test_later_rules_are_not_evaluated_on_rejected_rows(spark):
+    d = docs(spark, ODD)
+    passing = {r["doc_id"] for r in quality.judged(d, []).collect() if r["kept"]}
+    assert passing
+    boom = quality.Rule("boom", "raise_error(concat('evaluated on ', n_words)) is null")
+    everything, nothing = quality.Rule("everything", "size(_words) > 0"), quality.Rule("nothing", "size(_words) < 0")
+    assert not any(r["kept"] for r in quality.judged(d, [everything, boom]).collect())
+    for order in ([boom], [boom, everything], [nothing, boom]):
+        with pytest.raises(Exception, match="evaluated on"):
+            quality.judged(d, order).collect()
+
+
+def test_order_follows_price_and_selectivity(spark):
+    assert quality.greedy({0b01: 10, 0b10: 30, 0: 60}, [1.0, 1.0]) == [1, 0]
+    assert quality.greedy({0b01: 10, 0b10: 30, 0: 60}, [1.0, 9.0]) == [0, 1]
+    # what the first rule rejects counts no more: the third then rejects more than the second
+    assert quality.greedy({0b011: 50, 0b100: 20, 0b010: 5}, [1.0, 1.2, 1.0]) == [0, 2, 1]
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(60 + i % 40)), "a") for i in range(300)]
+    dear = quality.Rule("dear", "size(array_sort(flatten(transform(sequence(1, 40), i -> transform(_words, w -> concat(w, i)))))) % 2 = n_words % 2 and n_words < 80")
+    cheap = quality.Rule("cheap", "n_words < 80")
+    for rules in ((dear, cheap), (cheap, dear)):
+        plan = quality.order_rules(docs(spark, rows), rules)
+        assert [x["rule"].name for x in plan] == ["cheap", "dear"] and plan[1]["seconds"] > plan[0]["seconds"]
+    kept = Counter(r["kept"] for r in quality.cascade(docs(spark, rows), (dear, cheap)).collect())
+    assert kept == Counter(r["kept"] for r in quality.judged(docs(spark, rows), [cheap, dear]).collect())
+
+
+def test_rules_with_work_of_their_own(spark):
+    prose = " ".join(f"word{i}" for i in range(80))
+    digits = " ".join(f"{i}.{i}" for i in range(90)) + " " + " ".join(f"w{i}" for i in range(60))
+    cut = "\n".join(f"line{i} of{i} a{i} page{i} ... " for i in range(30))
+    rows = [(1, prose, "a"), (2, digits, "a"), (3, cut, "a"), (4, cut.replace("...", "…"), "a"), (5, cut.replace("...", "."), "a"), (6, prose.replace("word", "слово"), "a")]
+    assert {r["doc_id"] for r in quality.cascade(docs(spark, rows)).collect() if r["kept"]} == {1, 5, 6}
+
+
 def lines_brute(rows):
     holders, out = defaultdict(set), []
     key = lambda x: x.strip(SPACE).translate(FOLD)
@@ -124,6 +159,33 @@ def test_mixing(spark, monkeypatch, few):
     assert mixing.mix_table(d.limit(0)).count() == 0 and mixing.mix(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("few", [1, 3])
+def test_any_number_of_sources(spark, monkeypatch, few):
+    """Planned as a table and broadcast in pieces, the mix is that of the driver's plan."""
+    rows = ODD + [(1000 + i, "w " * (i % 50), f"s{i % 11}" if i % 3 else "hot") for i in range(2000)]
+    d = docs(spark, rows)
+    facts = lambda: sorted(map(str, mixing.mix_table(d).collect()))
+    taken = lambda: Counter(str(r) for r in mixing.mix(d).collect())
+    want, mixed = facts(), taken()
+    monkeypatch.setattr(mixing, "FEW_SOURCES", few)
+    assert facts() == want and taken() == mixed
+    assert mixing.mix_table(d.limit(0)).count() == 0 and mixing.mix(d.limit(0)).count() == 0
+    given = spark.createDataFrame([("hot", 5), ("a", 1), (None, 2)], "source string, weight long")
+    many = sorted(map(str, mixing.mix_table(d, weights=given).collect()))
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 1000)
+    assert many == sorted(map(str, mixing.mix_table(d, weights=given).collect()))
+
+
+def test_mixing_moves_no_text(spark):
+    out = mixing.mix(docs(spark, ODD + [(1000 + i, "w " * (i % 50), "abc"[i % 3]) for i in range(300)]))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    moves = [line for line in plan.splitlines() if "Exchange" in line and "BroadcastExchange" not in line]
+    assert not moves and plan.count("BroadcastExchange") >= 1
+    # what is broadcast is the table of sources
+    for part in plan.split("BroadcastExchange")[1:]:
+        assert "upto" in part.split("Scan")[1] and "text" not in part.split("Scan")[1].split("ReadSchema")[-1].split("\n")[0]
+
+
 def url_brute(url):
     rest = url.split("://", 1)[1] if url and "://" in url else ""
     host = re.match(r"[^/?#]*", rest)[0]
