@@ -4,12 +4,15 @@ Equal sets are one node from the start. Elements are ordered rare first by a fix
 the whole corpus (any order is right; this one keeps lists short). Of two sets that link, the first
 `n - ceil(t * n) + k` elements share k: light sets enumerate the 2-subsets of that prefix, heavy ones
 stand in the inverted list of each of its elements, and the size at which light ends is the one of least
-cost over the corpus's size histogram. Sets just below it do both, so no pair is missed.
+cost over the corpus's size histogram. Sets just below it do both, and so do sets so small that one
+shared element may suffice, so no pair is missed.
 
 A list never becomes pairs of all its members. First each member meets its list's least one; the links
 found are contracted, lists within one component are done, and only members of different components of
-one list, which the size and position bounds still allow, meet. Every link is verified on whole sets.
-That gives the components. link_counts() gives the join's links themselves, within components too: all
+one list meet, in blocks, which the size and position bounds still allow, and whose parity sketches do: the
+bits in which two sketches differ are at most the elements in which the sets do, so a pair that differs in
+more bits than links may is no link, and it becomes no row. Every link is verified on whole sets, those of
+a set that stands in many pairs in several tasks. That gives the components. link_counts() gives the join's links themselves, within components too: all
 different sets of a list that the bounds allow meet, in blocks, and are verified.
 """
 
@@ -32,8 +35,10 @@ from scholia.llm.shingles import mix, shingle_sets
 SKETCH_BITS, SLICES = 24, 64
 #: Ids of documents whose sets are fetched are broadcast up to this many, and joined beyond.
 FEW_IDS = 1_000_000
-#: Sets of one list in a block of the join of all pairs.
+#: Sets of one list in a block of the join of all pairs, and pairs of one set that are verified in one task.
 BLOCK = 1000
+#: 64-bit words of a parity sketch.
+PARITY = 16
 _SIZES = 4096
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
 
@@ -125,6 +130,8 @@ def _entries(classes, n_words: int, num: int, den: int, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = np.frombuffer(zlib.decompress(classes.value), np.uint8)
         shift = np.uint64(64 - SKETCH_BITS)
+        # the largest set that may link by sharing one element alone, and what may link to it: 2-subsets don't find them
+        single = den // num * den // num
         for batch in batches:
             ids, sizes, prints, keys, places, ends = [], [], [], [], [], [0]
             for doc, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), n_words), strict=True):
@@ -137,7 +144,7 @@ def _entries(classes, n_words: int, num: int, den: int, limit: int):
                         low, high = np.minimum(first[i], first[j]), np.maximum(first[i], first[j])
                         got.append(mix(low * _PAIR + high))
                         at.append(np.full(len(i), -1, np.int32))
-                    if n * den >= num * (limit + 1):
+                    if n * den >= num * (limit + 1) or n <= single:
                         got.append(first[: n - need + 1])
                         at.append(np.arange(n - need + 1, dtype=np.int32))
                 ids.append(doc)
@@ -155,6 +162,29 @@ def _entries(classes, n_words: int, num: int, den: int, limit: int):
     return run
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """Parity sketch of a set: each element flips one bit, so of two sketches those bits differ that an odd number of the differing elements flip."""
+    bits = np.bincount((s * _PAIR >> np.uint64(64 - 6 - PARITY.bit_length() + 1)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _sketched_sets(n_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = list(shingle_sets(batch.column(1).to_pylist(), n_words))
+            prints = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in found]
+            bits = [parity(s).tolist() for s in found]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).cast(pa.int64()), "fp": pa.array(prints, pa.binary()), "parity": pa.array(bits, pa.list_(pa.int64()))})
+
+    return run
+
+
+def _near(x: str, y: str, num: int, den: int) -> Column:
+    """Whether sets whose parity sketches differ so little can still link: |x ^ y| <= (1 - t) / (1 + t) * (|x| + |y|) for every link."""
+    differ = " + ".join(f"bit_count({x}.parity[{k}] ^ {y}.parity[{k}])" for k in range(PARITY))
+    return F.expr(f"coalesce(({differ}) * {den + num} <= {den - num} * ({x}.n + {y}.n), true)")
+
+
 def _sets(n_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,9 +262,16 @@ class JaccardJoin:
         ids = scratch(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
         wanted = F.broadcast(ids) if ids.count() <= FEW_IDS else ids
         sets = scratch(self.docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(self.n_words), "doc_id long, body binary"), "sets")
-        one = pairs.join(sets.withColumnRenamed("doc_id", "b").withColumnRenamed("body", "y"), "b")
-        two = one.join(sets.withColumnRenamed("doc_id", "a").withColumnRenamed("body", "x"), "a")
-        return scratch(two.select("a", "b", "x", "y").mapInArrow(_verify(self.num, self.den), "a long, b long"), "links")
+        return scratch(self._compared(pairs, sets.withColumnRenamed("doc_id", "of")).mapInArrow(_verify(self.num, self.den), "a long, b long"), "links")
+
+    def _compared(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """a, b, x, y: the pairs with their sets (of, body). One set of each pair, a, may stand in very many of them: it is dealt over as many keys as these are blocks."""
+        many = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("a", F.ceil(F.col("n") / BLOCK).cast("int").alias("deals"))
+        dealt = pairs.join(many, "a", "left").withColumn("deal", F.when(F.col("deals").isNull(), 0).otherwise(F.pmod(F.xxhash64("b"), F.col("deals"))).cast("int")).drop("deals")
+        one = dealt.join(sets.withColumnRenamed("of", "b").withColumnRenamed("body", "y"), "b")
+        held = sets.withColumnRenamed("of", "a").withColumnRenamed("body", "x").join(many, "a", "left")
+        held = held.withColumn("deal", F.explode(F.sequence(F.lit(0), F.coalesce("deals", F.lit(1)) - 1))).drop("deals")
+        return one.join(held, ["a", "deal"]).select("a", "b", "x", "y")
 
     def _entries(self) -> DataFrame:
         classes, limit = self._order()
@@ -242,6 +279,14 @@ class JaccardJoin:
         schema = "doc_id long, n long, fp binary, keys array<struct<key:long,pos:int>>"
         return scratch(self.docs.mapInArrow(_entries(sent, self.n_words, self.num, self.den, limit), schema), "entries")
 
+    def _with_parity(self, rest: DataFrame) -> DataFrame:
+        """rest with the parity sketch of each node's set; null where an id stands on several sets."""
+        ids = scratch(rest.select(F.col("node").alias("doc_id")).distinct(), "ids")
+        wanted = F.broadcast(ids) if ids.count() <= FEW_IDS else ids
+        bits = self.docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sketched_sets(self.n_words), "doc_id long, fp binary, parity array<long>")
+        one = bits.where("fp is not null").groupBy(F.col("doc_id").alias("node")).agg(F.min("fp").alias("f0"), F.max("fp").alias("f1"), F.min("parity").alias("parity")).where("f0 = f1").select("node", "parity")
+        return rest.join(scratch(one, "parity"), "node", "left")
+
     def all_links(self) -> tuple[DataFrame, DataFrame]:
         """(entries, links): links has every pair of different sets that link, a < b by their fingerprints. It grows with the square of a group."""
         num, den = self.num, self.den
@@ -262,9 +307,7 @@ class JaccardJoin:
         bodies = self.docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_printed_sets(self.n_words), "doc_id long, fp binary, body binary")
         # one row a set: its head's id may be repeated, or stand on other sets too
         bodies = scratch(bodies.join(wanted, ["doc_id", "fp"], "left_semi").dropDuplicates(["fp"]).select("fp", "body"), "sets")
-        one = pairs.join(bodies.withColumnRenamed("fp", "b").withColumnRenamed("body", "y"), "b")
-        two = one.join(bodies.withColumnRenamed("fp", "a").withColumnRenamed("body", "x"), "a")
-        return entries, scratch(two.select("a", "b", "x", "y").mapInArrow(_verify(num, den), "a binary, b binary"), "links")
+        return entries, scratch(self._compared(pairs, bodies.withColumnRenamed("fp", "of")).mapInArrow(_verify(num, den), "a binary, b binary"), "links")
 
     def run(self) -> tuple[DataFrame, DataFrame]:
         """(members, links): members has doc_id, n, node, component for each row of docs; links verified pairs of nodes that join all that link."""
@@ -291,8 +334,14 @@ class JaccardJoin:
         placed = shared.drop("head").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         open_ = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
         rest = scratch(placed.join(open_, "key", "left_semi"), "rest")
-        x, y = rest.alias("x"), rest.alias("y")
-        apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & _allowed(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), num, den)
+        rest = self._with_parity(rest)
+        lists = rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        rest = scratch(rest.join(lists, "key"), "dealt")
+        # a block of a list meets the whole list, so a long one is dealt over as many keys as it has blocks
+        x = rest.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).alias("x")
+        y = rest.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("y")
+        apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.comp") < F.col("y.comp"))
+        apart = apart & _allowed(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), num, den) & _near("x", "y", num, den)
         met = x.join(y, apart).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         second = self._links(met.join(stars, ["a", "b"], "left_anti"))
         links = scratch(first.unionByName(second), "links")
@@ -339,13 +388,20 @@ def link_counts(docs: DataFrame, n_words: int = 5, num: int = 4, den: int = 5) -
 
 
 def keep_one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """docs with one row of each group: the one with the smallest doc_id; rows without an id stay."""
+    """docs with one document of each group: the one with the smallest doc_id; rows without an id stay.
+
+    Rows that repeat an id are one document: of those with equal texts the least by its other columns
+    stays, and all its different texts do. Only such rows are shuffled with their texts.
+    """
     groups = similar_groups(docs, **how).where("doc_id <> component_id").select("doc_id").distinct()
-    # rows that repeat an id are one document; rows without an id are each their own
-    left = docs.join(scratch(groups, "gone"), "doc_id", "left_anti")
-    own = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
-    rows = left.select("doc_id", own.alias("_own"), F.struct(*docs.columns).alias("_row")).dropDuplicates(["doc_id", "_own"])
-    return rows.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+    left = docs.join(scratch(groups, "gone"), "doc_id", "left_anti").select(*docs.columns)
+    repeated = scratch(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return left
+    single = left.join(repeated, "doc_id", "left_anti").select(*docs.columns)
+    several = left.join(repeated, "doc_id", "left_semi").select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("_text"), F.struct(*docs.columns).alias("_row"))
+    least = several.groupBy("doc_id", "_text", F.col("_row.text").isNull()).agg(F.min("_row").alias("_row"))
+    return single.unionByName(least.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns]))
 
 
 GROUPS_SQL = r"""

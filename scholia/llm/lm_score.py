@@ -31,8 +31,8 @@ from scholia.llm.common import scratch
 
 VOCABULARY, RARE = 4096, 64
 WIDTH, HIDDEN, REACH = 16, 16, 2
-ROUNDS, BATCH, RATE = 1, 512, 0.1
-#: Nodes nearest the root, by how often they are passed, are computed for every position as one matrix product.
+ROUNDS, BATCH, RATE = 1, 2048, 0.1
+#: Products with the nodes nearest the root, by how often they are passed, are one matrix product for all positions.
 DENSE = 64
 #: Parameters of so many partitions are averaged by one step of the tree.
 FAN_IN = 32
@@ -138,13 +138,11 @@ class Vocabulary:
         order = np.lexsort((nodes, owners))
         self.nodes, self.turns = nodes[order].astype(np.int32), turns[order].astype(np.float32)
         self.at = np.searchsorted(owners[order], np.arange(self.size + 1))
-        # the dense part as a row for each id, the rest as paths
-        dense = self.nodes < DENSE
-        owner = owners[order]
-        self.passed = np.zeros((self.size, DENSE), np.int8)  # 0: not on the path, 1: first child, 2: second
-        self.passed[owner[dense], self.nodes[dense]] = 1 + self.turns[dense].astype(np.int8)
+        # paths in two parts: through the dense nodes, and beyond
+        dense, owner = self.nodes < DENSE, owners[order]
+        self.top_nodes, self.top_turns = self.nodes[dense], self.turns[dense]
         self.rest_nodes, self.rest_turns = self.nodes[~dense], self.turns[~dense]
-        self.rest_at = np.searchsorted(owner[~dense], np.arange(self.size + 1))
+        self.top_at, self.rest_at = (np.searchsorted(owner[x], np.arange(self.size + 1)) for x in (dense, ~dense))
 
     def lookup(self) -> Ids:
         return Ids(zip(self.words, self.ids.tolist(), strict=True))
@@ -158,23 +156,26 @@ def _spans(at: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def initial(vocabulary: Vocabulary, seed: int = 11) -> dict[str, np.ndarray]:
-    """embed: a row for each id; in, b: the hidden layer; node, c: a row and a bias for each node of the tree."""
+    """embed: a row for each id; in: the hidden layer, a block of columns for each side position; b; node: a row for each node of the tree, the bias last."""
     rng = np.random.default_rng(seed)
     embed = (0.5 * rng.standard_normal((vocabulary.size, WIDTH))).astype(np.float32)
-    inward = (rng.standard_normal((2 * REACH * WIDTH, HIDDEN)) / np.sqrt(2 * REACH * WIDTH)).astype(np.float32)
-    node = (0.1 * rng.standard_normal((max(vocabulary.count, DENSE), HIDDEN))).astype(np.float32)
-    c = np.zeros(len(node), np.float32)
-    c[: vocabulary.count] = vocabulary.prior
-    return {"embed": embed, "in": inward, "b": np.zeros(HIDDEN, np.float32), "node": node, "c": c}
+    inward = (rng.standard_normal((WIDTH, 2 * REACH * HIDDEN)) / np.sqrt(2 * REACH * WIDTH)).astype(np.float32)
+    node = (0.1 * rng.standard_normal((max(vocabulary.count, DENSE), HIDDEN + 1))).astype(np.float32)
+    node[:, HIDDEN] = 0
+    node[: vocabulary.count, HIDDEN] = vocabulary.prior
+    return {"embed": embed, "in": inward, "b": np.zeros(HIDDEN, np.float32), "node": node}
 
 
-def windows(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """(positions, 2 * REACH) ids around each position; ids are padded by REACH at both ends of every text."""
-    return np.stack([ids[at + k] for k in (*range(-REACH, 0), *range(1, REACH + 1))], axis=1)
+#: Where the tokens on either side stand in a run that begins REACH before its first position.
+_SIDES = tuple(k + REACH for k in (*range(-REACH, 0), *range(1, REACH + 1)))
+
+
+def _blocks(x: np.ndarray) -> list[np.ndarray]:
+    return [x[:, k * HIDDEN : (k + 1) * HIDDEN] for k in range(2 * REACH)]
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
-    np.multiply(z, 0.5, out=z)
+    z *= 0.5
     np.tanh(z, out=z)
     z += 1
     z *= 0.5
@@ -190,37 +191,54 @@ def _by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(values.take(order, axis=0), first, axis=0), np.diff(np.append(first, len(keys)))
 
 
-def gradients(p: dict[str, np.ndarray], vocabulary: Vocabulary, ctx: np.ndarray, target: np.ndarray) -> dict[str, tuple]:
-    """Of the mean -log p(target | window): for each parameter (rows, gradients, times); rows None: of the whole array."""
-    n = len(target)
-    e = p["embed"].take(ctx, axis=0).reshape(n, -1)
-    h = np.tanh(e @ p["in"] + p["b"])
-    # the nodes near the root, for all positions at once
-    passed = vocabulary.passed.take(target, axis=0)
-    g = _sigmoid(h @ p["node"][:DENSE].T + p["c"][:DENSE])
-    g -= passed == 2
-    g *= passed > 0
-    g /= n
-    dh, top, top_c, times = g @ p["node"][:DENSE], g.T @ h, g.sum(0), (passed > 0).sum(0)
-    out = {"node": (np.arange(DENSE), top, times), "c": (np.arange(DENSE), top_c, times)}
-    # the others, where paths go
+def gradients(p: dict[str, np.ndarray], vocabulary: Vocabulary, ids: np.ndarray) -> dict[str, tuple]:
+    """Of the mean -log p(token | window) over a run of ids but for its first and last REACH: for each parameter (rows, gradients, times); rows None: of the whole array.
+
+    Neighbours share their windows, so each token's row is fetched and changed once for the run, not once for each window.
+    """
+    n = len(ids) - 2 * REACH
+    asked = np.flatnonzero(ids[REACH : n + REACH] != PAD)
+    target, e = ids[asked + REACH], p["embed"].take(ids, axis=0)
+    shown = e @ p["in"]
+    h = p["b"] + sum(x[k : k + n] for k, x in zip(_SIDES, _blocks(shown), strict=True))
+    h = np.tanh(h).take(asked, axis=0)
+    top, bias = p["node"][:DENSE, :HIDDEN], p["node"][:, HIDDEN]
+    # the nodes near the root: all products at once, of which paths take theirs
+    at, count = _spans(vocabulary.top_at, target)
+    nodes = vocabulary.top_nodes[at]
+    cell = np.repeat(np.arange(0, DENSE * len(target), DENSE), count) + nodes
+    d = _sigmoid((h @ top.T).ravel().take(cell) + bias.take(nodes))
+    d -= vocabulary.top_turns[at]
+    d /= len(target)
+    g = np.zeros((len(target), DENSE), h.dtype)
+    g.ravel()[cell] = d
+    dh = g @ top
+    times = np.bincount(nodes, minlength=DENSE)
+    out = {"node": (np.arange(DENSE), np.concatenate([g.T @ h, g.sum(0)[:, None]], axis=1), times)}
+    # the others, one by one
     at, count = _spans(vocabulary.rest_at, target)
     if len(at):
-        nodes, own = vocabulary.rest_nodes[at], np.repeat(np.arange(n), count)
-        v, hidden = p["node"].take(nodes, axis=0), h.take(own, axis=0)
-        d = _sigmoid(np.einsum("ij,ij->i", hidden, v) + p["c"].take(nodes))
+        nodes = vocabulary.rest_nodes[at]
+        v = p["node"].take(nodes, axis=0)
+        hidden = np.empty_like(v)
+        hidden[:, :HIDDEN] = np.repeat(h, count, axis=0)
+        hidden[:, HIDDEN] = 1
+        d = _sigmoid(np.einsum("ij,ij->i", hidden, v))
         d -= vocabulary.rest_turns[at]
-        d /= n
-        v *= d[:, None]
+        d /= len(target)
         some = np.flatnonzero(count)
-        dh[some] += np.add.reduceat(v, (np.cumsum(count) - count)[some], axis=0)
+        v *= d[:, None]
+        dh[some] += np.add.reduceat(v, (np.cumsum(count) - count)[some], axis=0)[:, :HIDDEN]
         hidden *= d[:, None]
-        rows, sums, times = _by_row(nodes, np.concatenate([hidden, d[:, None]], axis=1))
-        for k, part in (("node", sums[:, :-1]), ("c", sums[:, -1])):
-            out[k] = tuple(np.concatenate(x) for x in zip(out[k], (rows, part, times), strict=True))
+        out["node"] = tuple(np.concatenate(x) for x in zip(out["node"], _by_row(nodes, hidden), strict=True))
     dh *= 1 - h * h
-    out["embed"] = _by_row(ctx.ravel(), (dh @ p["in"].T).reshape(-1, WIDTH))
-    return out | {"in": (None, e.T @ dh, n), "b": (None, dh.sum(0), n)}
+    whole = np.zeros((n, HIDDEN), h.dtype)
+    whole[asked] = dh
+    de = np.zeros_like(e)
+    for k, w in zip(_SIDES, _blocks(p["in"]), strict=True):
+        de[k : k + n] += whole @ w.T
+    out["embed"] = _by_row(ids, de)
+    return out | {"in": (None, np.concatenate([e[k : k + n].T @ whole for k in _SIDES], axis=1), n), "b": (None, dh.sum(0), n)}
 
 
 class Trainer:
@@ -231,26 +249,34 @@ class Trainer:
         self.seen = {k: np.zeros_like(v) for k, v in p.items()}
         self.times = {k: np.zeros(len(p[k]), np.int64) for k in ("embed", "node")}
 
-    def step(self, ctx: np.ndarray, target: np.ndarray) -> None:
-        self.done += len(target)
-        for k, (rows, g, times) in gradients(self.p, self.vocabulary, ctx, target).items():
-            at = slice(None) if rows is None else rows
-            past = self.seen[k][at] + g * g
-            self.seen[k][at] = past
-            self.p[k][at] -= (RATE * g / np.sqrt(past + 1e-8)).astype(np.float32)
-            if k in self.times:
-                self.times[k][rows] += times
+    def step(self, ids: np.ndarray) -> None:
+        self.done += int((ids[REACH:-REACH] != PAD).sum())
+        for k, (rows, g, times) in gradients(self.p, self.vocabulary, ids).items():
+            if rows is None:
+                self.seen[k] += g * g
+                self.p[k] -= (RATE * g / np.sqrt(self.seen[k] + 1e-8)).astype(np.float32)
+                continue
+            past = g * g
+            past += self.seen[k].take(rows, axis=0)
+            self.seen[k][rows] = past
+            past += 1e-8
+            np.sqrt(past, out=past)
+            np.divide(g, past, out=past)
+            past *= -RATE
+            past += self.p[k].take(rows, axis=0)
+            self.p[k][rows] = past
+            self.times[k][rows] += times
 
 
 def packed(p: dict[str, np.ndarray]) -> np.ndarray:
-    """All parameters as rows of HIDDEN + 1: those of the ids, of the nodes with their bias, of the hidden layer."""
+    """All parameters as rows of HIDDEN + 1: those of the ids, of the nodes, of the hidden layer."""
     wide = lambda x: np.concatenate([x, np.zeros((len(x), HIDDEN + 1 - x.shape[1]), np.float32)], axis=1)
-    return np.concatenate([wide(p["embed"]), np.concatenate([p["node"], p["c"][:, None]], axis=1), wide(p["in"]), wide(p["b"][None])])
+    return np.concatenate([wide(p["embed"]), p["node"], wide(p["in"].reshape(-1, HIDDEN)), wide(p["b"][None])])
 
 
 def unpacked(x: np.ndarray, ids: int) -> dict[str, np.ndarray]:
     layer = len(x) - 2 * REACH * WIDTH - 1
-    return {"embed": x[:ids, :WIDTH].copy(), "node": x[ids:layer, :HIDDEN].copy(), "c": x[ids:layer, HIDDEN].copy(), "in": x[layer:-1, :HIDDEN].copy(), "b": x[-1, :HIDDEN].copy()}
+    return {"embed": x[:ids, :WIDTH].copy(), "node": x[ids:layer].copy(), "in": x[layer:-1, :HIDDEN].reshape(WIDTH, -1).copy(), "b": x[-1, :HIDDEN].copy()}
 
 
 _ENCODED = "row long, doc_id long, n_tokens long, ids binary, less double, rare array<struct<word:binary,tf:long>>"
@@ -301,33 +327,26 @@ def _train_part(sent, vocabulary_sent):
         vocabulary = vocabulary_sent.value
         start = np.frombuffer(sent.value, np.float32).reshape(-1, HIDDEN + 1)
         trainer = Trainer(unpacked(start, vocabulary.size), vocabulary)
-        ctx, target, held = [], [], 0
+        held, size = [_EDGE], 0
         for batch in batches:
             for body in batch.column(0).to_pylist():
-                x = np.frombuffer(body, "<i4")
-                padded = np.concatenate([_EDGE, x, _EDGE])
-                for a in range(0, len(x), 2 * _BLOCK):
-                    at = np.arange(a, min(a + 2 * _BLOCK, len(x)))
-                    ctx.append(windows(padded, at + REACH))
-                    target.append(x[at])
-                    held += len(at)
-                    if held >= 2 * _BLOCK:
-                        _steps(trainer, ctx, target)
-                        held = 0
-        if held:
-            _steps(trainer, ctx, target)
+                held += [np.frombuffer(body, "<i4"), _EDGE]
+                size += len(held[-2])
+                if size >= 2 * _BLOCK:
+                    _steps(trainer, np.concatenate(held))
+                    held, size = [_EDGE], 0
+        if size:
+            _steps(trainer, np.concatenate(held))
         if trainer.done:
             layer = np.full(2 * REACH * WIDTH + 1, trainer.done)
             weights = np.concatenate([trainer.times["embed"], trainer.times["node"], layer])
             yield from _sent(TaskContext.get().partitionId(), np.flatnonzero(weights), packed(trainer.p), weights)
 
-    def _steps(trainer, ctx, target) -> None:
-        c, t = np.concatenate(ctx), np.concatenate(target)
-        order = np.random.default_rng(len(t)).permutation(len(t))
-        for k in range(0, len(t), BATCH):
-            trainer.step(c[order[k : k + BATCH]], t[order[k : k + BATCH]])
-        ctx.clear()
-        target.clear()
+    def _steps(trainer: Trainer, ids: np.ndarray) -> None:
+        """Runs of texts with PAD around each, in a seeded order."""
+        starts = np.arange(REACH, len(ids) - REACH, BATCH)
+        for a in np.random.default_rng(len(ids)).permutation(starts):
+            trainer.step(ids[a - REACH : min(a + BATCH, len(ids) - REACH) + REACH])
 
     return run
 
@@ -414,25 +433,35 @@ class Network:
     """Trained tables: for each side position the hidden contribution of every id."""
 
     def __init__(self, p: dict[str, np.ndarray]):
-        self.tables = [p["embed"] @ w for w in p["in"].reshape(2 * REACH, WIDTH, HIDDEN)]
-        self.b, self.node, self.c = p["b"], p["node"], p["c"]
+        self.tables = [p["embed"] @ w for w in _blocks(p["in"])]
+        self.b, self.node = p["b"], p["node"]
 
     def log_probs(self, ids: np.ndarray, at: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
         """log p(token | both sides) at the positions of a padded sequence."""
         out = np.empty(len(at))
+        top, bias = self.node[:DENSE, :HIDDEN], self.node[:, HIDDEN]
         for a in range(0, len(at), _BLOCK):
             k = at[a : a + _BLOCK]
-            h = self.b + self.tables[0].take(ids[k - REACH], axis=0)
-            for table, shift in zip(self.tables[1:], (*range(1 - REACH, 0), *range(1, REACH + 1)), strict=True):
-                h += table.take(ids[k + shift], axis=0)
+            h = self.b + sum(table.take(ids[k + side - REACH], axis=0) for table, side in zip(self.tables, _SIDES, strict=True))
             np.tanh(h, out=h)
-            path, count = _spans(vocabulary.at, ids[k])
-            nodes = vocabulary.nodes[path]
-            z = np.einsum("ij,ij->i", np.repeat(h, count, axis=0), self.node.take(nodes, axis=0))
-            z += self.c.take(nodes)
-            z *= 1 - 2 * vocabulary.turns[path]  # log p(first) = -log(1 + e^z), log p(second) = -log(1 + e^-z)
-            steps = np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z)))
-            out[a : a + len(k)] = -np.add.reduceat(steps, np.cumsum(count) - count, dtype=np.float64)
+            total = np.ones(len(k))
+            for paths, nodes, turns, dense in ((vocabulary.top_at, vocabulary.top_nodes, vocabulary.top_turns, True), (vocabulary.rest_at, vocabulary.rest_nodes, vocabulary.rest_turns, False)):
+                path, count = _spans(paths, ids[k])
+                if not len(path):
+                    continue
+                own = nodes[path]
+                if dense:
+                    z = (h @ top.T).ravel().take(np.repeat(np.arange(0, DENSE * len(k), DENSE), count) + own)
+                else:
+                    z = np.einsum("ij,ij->i", np.repeat(h, count, axis=0), self.node.take(own, axis=0)[:, :HIDDEN])
+                z += bias.take(own)
+                z *= 2 * turns[path] - 1
+                # the product of a path's decisions, each at least e**-60: one logarithm a position
+                p = _sigmoid(np.maximum(z, -60).astype(np.float64))
+                np.maximum(p, 1e-26, out=p)
+                some = np.flatnonzero(count)
+                total[some] *= np.multiply.reduceat(p, (np.cumsum(count) - count)[some])
+            out[a : a + len(k)] = np.log(np.maximum(total, 1e-300))
         return out
 
 

@@ -73,9 +73,11 @@ class Rule:
 RULES = (
     Rule("symbols", "10 * n_symbols > 3 * n_words"),
     Rule("word_length", "word_chars > 20 * n_words or word_chars < 2 * n_words"),
-    Rule("repeated_lines", r"100 * n_dup_lines > 30 * size(split(_text, '\\n', -1))"),
-    Rule("few_letters", r"2 * size(filter(_words, w -> w rlike '[A-Za-z]|[^\\x00-\\x7F]')) < n_words"),
-    Rule("cut_lines", r"2 * size(filter(split(_text, '\\n', -1), x -> x rlike '([.][.][.]|…)[\\x20\\x09-\\x0D]*$')) > size(split(_text, '\\n', -1))"),
+    Rule("repeated_lines", r"100 * n_dup_lines > 30 * (1 + length(_text) - length(replace(_text, '\n', '')))"),
+    # half of the words have no letter: neither A-Z, a-z nor anything beyond ASCII
+    Rule("few_letters", r"2 * regexp_count(_text, '(?<![^\\x20\\x09-\\x0D])[\\x00-\\x08\\x0E-\\x1F\\x21-\\x40\\x5B-\\x60\\x7B-\\x7F]++(?![^\\x20\\x09-\\x0D])') > n_words"),
+    # half of the lines break off
+    Rule("cut_lines", r"2 * regexp_count(_text, '(?:[.][.][.]|…)[\\x20\\x09\\x0B-\\x0D]*+(?=\\n|\\z)') > 1 + length(_text) - length(replace(_text, '\n', ''))"),
     Rule("too_long", "n_words > 1000000"),
 )
 

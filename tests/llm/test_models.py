@@ -203,7 +203,7 @@ def test_lm_is_normalised():
 def test_lm_starts_as_the_unigram():
     vocabulary = lm_score.Vocabulary([(b"a", 70), (b"b", 20), (b"c", 10)], 100, {})
     p = lm_score.initial(vocabulary)
-    p["node"][:] = 0
+    p["node"][:, : lm_score.HIDDEN] = 0
     y = np.concatenate([lm_score._EDGE, [0, 1, 2], lm_score._EDGE]).astype(np.int32)
     got = np.exp(lm_score.Network(p).log_probs(y, np.array([2, 3, 4]), vocabulary))
     n = np.array([70.5, 20.5, 10.5])
@@ -217,13 +217,13 @@ def test_lm_gradients(words):
     p = {k: v.astype(np.float64) for k, v in lm_score.initial(vocabulary).items()}
     assert (len(vocabulary.rest_nodes) > 100) == (words == 400)
     rng = np.random.default_rng(5)
-    seq = np.concatenate([lm_score._EDGE, vocabulary.ids[rng.integers(0, words, 40)], [lm_score.VOCABULARY], lm_score._EDGE]).astype(np.int32)
-    at = np.arange(lm_score.REACH, len(seq) - lm_score.REACH)
+    seq = np.concatenate([lm_score._EDGE, vocabulary.ids[rng.integers(0, words, 40)], [lm_score.VOCABULARY], lm_score._EDGE, vocabulary.ids[:3], lm_score._EDGE]).astype(np.int32)
+    at = np.flatnonzero(seq != lm_score.PAD)
 
     def loss():
         return -lm_score.Network(p).log_probs(seq, at, vocabulary).mean()
 
-    for name, (rows, g, _) in lm_score.gradients(p, vocabulary, lm_score.windows(seq, at), seq[at]).items():
+    for name, (rows, g, _) in lm_score.gradients(p, vocabulary, seq).items():
         full = np.zeros_like(p[name])
         full[slice(None) if rows is None else rows] = g
         for k in np.argsort(-np.abs(full), axis=None)[:4]:
@@ -249,11 +249,11 @@ def test_lm_document_sum_is_a_plain_loop():
             h = p["b"].astype(float)
             for j, k in enumerate((-2, -1, 1, 2)):
                 token = x[i + k] if 0 <= i + k < len(x) else lm_score.PAD
-                h = h + p["embed"][token].astype(float) @ p["in"][j * lm_score.WIDTH : (j + 1) * lm_score.WIDTH]
+                h = h + p["embed"][token].astype(float) @ p["in"][:, j * lm_score.HIDDEN : (j + 1) * lm_score.HIDDEN]
             h = np.tanh(h)
             for a in range(vocabulary.at[x[i]], vocabulary.at[x[i] + 1]):
                 node = vocabulary.nodes[a]
-                q = 1 / (1 + math.exp(-(float(h @ p["node"][node]) + p["c"][node])))
+                q = 1 / (1 + math.exp(-float(h @ p["node"][node, :-1] + p["node"][node, -1])))
                 total += math.log(q if vocabulary.turns[a] else 1 - q)
         return total
 

@@ -83,6 +83,50 @@ def test_any_light_limit_gives_the_same_groups(spark, monkeypatch, limit):
     assert {r["doc_id"]: r["component_id"] for r in jaccard_join.similar_groups(table(spark, rows), 4, 85, 100).where("doc_id is not null").collect()} == want
 
 
+@pytest.mark.parametrize(("num", "den"), [(1, 2), (1, 3)])
+@pytest.mark.parametrize("limit", [None, 0, 3])
+def test_low_thresholds(spark, monkeypatch, num, den, limit):
+    """Sets of one to a few elements, of which one shared element may suffice; None: the cost model's own limit."""
+    if limit is not None:
+        monkeypatch.setattr(jaccard_join, "light_limit", lambda *a: limit)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 3)
+    r = Random(limit or 0)
+    rows = [(1, "a"), (2, "a b"), (3, "zz yy"), (4, "zz yy xx"), (5, "q"), (6, "q w e"), (7, "m n o"), (8, "n o p"), (9, "o p m n")]
+    rows += [(10 + i, " ".join(r.choice("abcdefghijklmnopqrstuvwxyz") + str(i // 12) for _ in range(r.randrange(1, 9)))) for i in range(120)]
+    want = groups(rows, 1, num, den)
+    assert {r["doc_id"]: r["component_id"] for r in jaccard_join.similar_groups(table(spark, rows), 1, num, den).collect()} == want
+
+
+def test_parity_bounds_the_difference():
+    rng = np.random.default_rng(4)
+    for n, k in ((20, 3), (300, 40), (2000, 700), (5, 5)):
+        x = rng.integers(0, 2**64, n, dtype=np.uint64)
+        y = np.concatenate([x[k:], rng.integers(0, 2**64, k, dtype=np.uint64)])
+        differ = sum(int(a ^ b).bit_count() for a, b in zip(jaccard_join.parity(x).view(np.uint64).tolist(), jaccard_join.parity(y).view(np.uint64).tolist()))
+        assert differ <= len(set(x.tolist()) ^ set(y.tolist())) and (differ > k // 2 or n == 5)
+    assert not jaccard_join.parity(np.zeros(0, np.uint64)).any()
+
+
+def test_near_copies_that_link_with_each_other_alone(spark):
+    """Members that do not link with their lists' heads meet in blocks; of these pairs next to none is made that is no link."""
+    words = [f"w{i}" for i in range(200)]
+    r = Random(8)
+    rows = []
+    for i in range(150):
+        w = list(words)
+        for k in r.sample(range(200), 8):
+            w[k] = f"x{i}y{k}"
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, rows[i][1] + " end") for i in range(0, 150, 3)]
+    join = jaccard_join.JaccardJoin(table(spark, rows), 4, 85, 100)
+    made = []
+    links = join._links
+    join._links = lambda pairs: made.append(jaccard_join.scratch(pairs, "made")) or links(made[-1])
+    members, _ = join.run()
+    assert {r["doc_id"]: r["component"] for r in members.collect()} == groups(rows, 4, 85, 100)
+    assert made[1].count() < 20 * 150
+
+
 @pytest.mark.parametrize(("n", "num", "den", "block"), [(4, 85, 100, 1000), (5, 4, 5, 7)])
 def test_all_links(spark, monkeypatch, n, num, den, block):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
@@ -103,6 +147,11 @@ def test_one_of_each(spark):
     kept = jaccard_join.keep_one_of_each(d)
     assert kept.columns == d.columns and sorted(map(str, (r["doc_id"] for r in kept.collect()))) == ["1", "2", "9", "None"]
     assert jaccard_join.keep_one_of_each(d.limit(0)).count() == 0
+    texts = [(1, "a b c d e f g"), (1, "k l m n o p q"), (1, "k l m n o p q"), (1, None), (1, ""), (2, "K l m n o p q"), (3, "r s t u v w x")]
+    several = jaccard_join.keep_one_of_each(table(spark, texts))
+    assert Counter((r["doc_id"], r["text"]) for r in several.collect()) == Counter({(1, "a b c d e f g"): 1, (1, "k l m n o p q"): 1, (1, None): 1, (1, ""): 1, (3, "r s t u v w x"): 1})
+    others = spark.createDataFrame([(1, "t", "b"), (1, "t", "a"), (1, "t", None)], "doc_id long, text string, lang string").repartition(3)
+    assert [r["lang"] for r in jaccard_join.keep_one_of_each(others).collect()] == [None]
     assert jaccard_join.similar_groups(d.limit(0)).count() == 0
 
 
