@@ -19,13 +19,13 @@ from scholia.llm import tokens
 WINDOW, END = 2048, 1
 SHARD_BYTES, ROW_BYTES = 6_000_000, 100
 K1, B = 1.2, 0.75
-#: Terms of a seed that are queried: all, whatever their number.
-QUERY_TERMS = 1 << 62
+#: A term in more than one of so many documents of a shard has a dense row.
+DENSE_SHARE = 16
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
 class Bm25Shard:
-    """Postings of one shard: for each term, documents and their weights, as flat arrays."""
+    """Postings of one shard: for each term, documents and their weights, as flat arrays; a term of many documents is a dense row too."""
 
     def __init__(self, docs: list[np.ndarray]):
         unique = [np.unique(d, return_counts=True) for d in docs]
@@ -39,17 +39,32 @@ class Bm25Shard:
         idf = np.log1p((len(docs) - df + 0.5) / (df + 0.5)).astype(np.float32)
         norm = K1 * (1 - B + B * lengths / max(float(lengths.mean()) if docs else 1.0, 1.0))
         weight = idf[term] * tf * (K1 + 1) / (tf + norm[doc])
-        self.own = np.split(np.arange(len(term)), np.cumsum(sizes)[:-1]) if docs else []
-        self.term, self.weight = term, weight
         order = np.argsort(term.astype(np.uint16) if top <= 65536 else term, kind="stable")
         self.post_doc, self.post_weight = doc[order], weight[order].astype(np.float64)
         self.at = np.concatenate([[0], np.cumsum(df)])
         self.n = len(docs)
+        # rows are added as wholes; there are at most DENSE_SHARE times as many as a document has terms on the average
+        self.row = np.full(top, -1)
+        dense = np.flatnonzero(df * DENSE_SHARE > len(docs))
+        self.row[dense] = np.arange(len(dense))
+        self.rows = np.zeros((len(dense), len(docs)), np.float32)
+        for t in dense:
+            span = slice(self.at[t], self.at[t + 1])
+            self.rows[self.row[t], self.post_doc[span]] = self.post_weight[span]
+        bounds = np.cumsum(sizes)[:-1]
+        self.dense_of = [x[x >= 0] for x in np.split(self.row[term], bounds)] if docs else []
+        self.sparse_of = [t[x < 0] for t, x in zip(np.split(term, bounds), np.split(self.row[term], bounds), strict=True)] if docs else []
 
     def scores(self, doc: int) -> np.ndarray:
         """BM25 of every document for all terms of this one."""
-        spans = [slice(self.at[t], self.at[t + 1]) for t in self.term[self.own[doc]]]
-        return np.bincount(np.concatenate([self.post_doc[s] for s in spans]), np.concatenate([self.post_weight[s] for s in spans]), self.n)
+        total = np.zeros(self.n)
+        spans = [slice(self.at[t], self.at[t + 1]) for t in self.sparse_of[doc]]
+        if spans:
+            total += np.bincount(np.concatenate([self.post_doc[s] for s in spans]), np.concatenate([self.post_weight[s] for s in spans]), self.n)
+        own = self.dense_of[doc]
+        for a in range(0, len(own), 64):
+            total += self.rows[own[a : a + 64]].sum(axis=0)
+        return total
 
     def neighbours(self, doc: int, unused: np.ndarray) -> Iterator[int]:
         """Unused documents by falling score, ties by position; all that share a query term."""
