@@ -33,6 +33,11 @@ def shared_dir(spark: SparkSession) -> str:
     return configured
 
 
+def one_thread(spark: SparkSession) -> None:
+    """Python workers started from here on compute with one thread: tasks already fill the cores. A setting of the session's own stands."""
+    spark.sparkContext.environment.setdefault("OMP_NUM_THREADS", "1")
+
+
 def scratch(df: DataFrame, name: str) -> DataFrame:
     """df written once as Parquet in the shared folder and read again: lineage ends in files that survive executors."""
     spark = df.sparkSession

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scholia.llm.common import one_thread
+
 UNDETERMINED = "und"
 HIDDEN, WIDTH = 12, 64
 #: Bounds of the training sample: documents a language, documents in all, windows a document (more where documents are few).
@@ -205,6 +207,7 @@ def sample(docs: DataFrame) -> list[tuple[str, str]]:
     Rows are chosen by hash below a threshold that their language's count gives; 2 to 16 windows of each
     document are taken at hashed positions, so no more than that is sent to the driver.
     """
+    one_thread(docs.sparkSession)
     rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(DOCS_IN_ALL).collect()}
     if not counts:

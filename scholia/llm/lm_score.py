@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholia.llm.common import scratch
+from scholia.llm.common import one_thread, scratch
 
 VOCABULARY, RARE = 4096, 64
 WIDTH, HIDDEN, REACH = 16, 16, 2
@@ -182,13 +182,22 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return z
 
 
-def _by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct rows, the sums of their values, and how often each came."""
-    keys = rows.astype(np.uint16) if len(rows) and rows.max() < 65536 else rows
-    order = np.argsort(keys, kind="stable")
-    keys = rows[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(values.take(order, axis=0), first, axis=0), np.diff(np.append(first, len(keys)))
+def _sums(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """(n, columns): sums of the values' rows by their numbers below n."""
+    width = values.shape[1]
+    cells = np.add.outer(at * width, np.arange(width)).ravel()
+    return np.bincount(cells, values.ravel(), n * width).reshape(n, width).astype(values.dtype)
+
+
+def _by_row(rows: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows of n, the sums of their values, and how often each came."""
+    present = np.zeros(n, bool)
+    present[rows] = True
+    some = np.flatnonzero(present)
+    place = np.empty(n, np.int64)
+    place[some] = np.arange(len(some))
+    at = place[rows]
+    return some, _sums(at, values, len(some)), np.bincount(at, minlength=len(some))
 
 
 def gradients(p: dict[str, np.ndarray], vocabulary: Vocabulary, ids: np.ndarray) -> dict[str, tuple]:
@@ -226,18 +235,17 @@ def gradients(p: dict[str, np.ndarray], vocabulary: Vocabulary, ids: np.ndarray)
         d = _sigmoid(np.einsum("ij,ij->i", hidden, v))
         d -= vocabulary.rest_turns[at]
         d /= len(target)
-        some = np.flatnonzero(count)
         v *= d[:, None]
-        dh[some] += np.add.reduceat(v, (np.cumsum(count) - count)[some], axis=0)[:, :HIDDEN]
+        dh += _sums(np.repeat(np.arange(len(target)), count), v, len(target))[:, :HIDDEN]
         hidden *= d[:, None]
-        out["node"] = tuple(np.concatenate(x) for x in zip(out["node"], _by_row(nodes, hidden), strict=True))
+        out["node"] = tuple(np.concatenate(x) for x in zip(out["node"], _by_row(nodes, hidden, len(p["node"])), strict=True))
     dh *= 1 - h * h
     whole = np.zeros((n, HIDDEN), h.dtype)
     whole[asked] = dh
     de = np.zeros_like(e)
     for k, w in zip(_SIDES, _blocks(p["in"]), strict=True):
         de[k : k + n] += whole @ w.T
-    out["embed"] = _by_row(ids, de)
+    out["embed"] = _by_row(ids, de, len(p["embed"]))
     return out | {"in": (None, np.concatenate([e[k : k + n].T @ whole for k in _SIDES], axis=1), n), "b": (None, dh.sum(0), n)}
 
 
@@ -455,10 +463,11 @@ class Network:
                 else:
                     z = np.einsum("ij,ij->i", np.repeat(h, count, axis=0), self.node.take(own, axis=0)[:, :HIDDEN])
                 z += bias.take(own)
-                z *= 2 * turns[path] - 1
+                z *= 1 - 2 * turns[path]
                 # the product of a path's decisions, each at least e**-60: one logarithm a position
-                p = _sigmoid(np.maximum(z, -60).astype(np.float64))
-                np.maximum(p, 1e-26, out=p)
+                np.exp(np.minimum(z, 60, out=z), out=z)
+                z += 1
+                p = np.reciprocal(z, out=z).astype(np.float64)
                 some = np.flatnonzero(count)
                 total[some] *= np.multiply.reduceat(p, (np.cumsum(count) - count)[some])
             out[a : a + len(k)] = np.log(np.maximum(total, 1e-300))
@@ -503,6 +512,7 @@ def score(docs: DataFrame) -> DataFrame:
     texts has been counted, so none is unseen. The model follows from the corpus and the way its files are
     split into partitions.
     """
+    one_thread(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     vocabulary, rare = vocabulary_of(docs)
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
