@@ -112,11 +112,20 @@ def docs_per_year(documents: DataFrame) -> DataFrame:
 
 def hot_words(documents: DataFrame, year: int, k: int = 10, vocabulary: Vocabulary | None = None) -> DataFrame:
     """term, freq, trend_score of a year's k most frequent terms."""
-    top = year_terms(documents.where(F.col("year") == year), vocabulary).orderBy(F.desc("freq"), "term").limit(k)
+    return top_of_year(year_terms(documents.where(F.col("year") == year), vocabulary), year, k)
+
+
+def top_of_year(terms: DataFrame, year: int, k: int = 10) -> DataFrame:
+    """The same from year_terms, stored or not."""
+    top = terms.where(F.col("year") == year).orderBy(F.desc("freq"), "term").limit(k)
     return top.select("term", "freq", F.col("freq").cast("double").alias("trend_score"))
 
 
 def hot_words_by_year(documents: DataFrame, k: int = 10, vocabulary: Vocabulary | None = None) -> DataFrame:
+    return top_by_year(year_terms(documents, vocabulary), k)
+
+
+def top_by_year(terms: DataFrame, k: int = 10) -> DataFrame:
     """Spark keeps k rows a task and year before it ranks (WindowGroupLimit)."""
     w = Window.partitionBy("year").orderBy(F.desc("freq"), "term")
-    return year_terms(documents, vocabulary).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return terms.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

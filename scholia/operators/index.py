@@ -7,14 +7,16 @@ raw corpus shuffles its own terms only, and over a saved index reads only their
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scholia.functions.text import norm_key, tokens, trigrams
+from scholia.shared import cut, store_dir
 
-FORMAT = 1
+FORMAT = 2
 BLOCK = 128
 
 
@@ -50,8 +52,13 @@ def trigram_table(lexicon: DataFrame, key: str) -> DataFrame:
 
 def block_max(postings: DataFrame, size: int = BLOCK) -> DataFrame:
     """term, block, end_doc, max_tf for every `size` postings of a term in doc_id order."""
-    rank = F.row_number().over(Window.partitionBy("term").orderBy("doc_id")) - 1
-    return postings.withColumn("block", F.floor(rank / size)).groupBy("term", "block").agg(F.max("doc_id").alias("end_doc"), F.max("tf").alias("max_tf"))
+    # a frequent term spans ranges: its postings are ranked within each and start after those of the ranges before
+    placed = cut(postings.repartitionByRange("term", "doc_id").withColumn("_part", F.spark_partition_id()))
+    counts = placed.groupBy("term", "_part").agg(F.count("*").alias("n"))
+    before = counts.select("term", "_part", (F.sum("n").over(Window.partitionBy("term").orderBy("_part")) - F.col("n")).alias("_before"))
+    ranked = placed.withColumn("_rank", F.row_number().over(Window.partitionBy("term", "_part").orderBy("doc_id")) - 1)
+    rank = F.col("_before") + F.col("_rank")
+    return ranked.join(before, ["term", "_part"]).withColumn("block", F.floor(rank / size)).groupBy("term", "block").agg(F.max("doc_id").alias("end_doc"), F.max("tf").alias("max_tf"))
 
 
 @dataclass
@@ -61,9 +68,12 @@ class Index:
     lexicon: DataFrame
     authors: DataFrame | None = None
     stored: bool = False
+    facts: tuple[int, float] | None = None
 
     def corpus(self) -> tuple[int, float]:
-        """(documents, average length), empty titles included."""
+        """(documents, average length), empty titles included; a stored index knows them."""
+        if self.facts:
+            return self.facts
         r = self.documents.agg(F.count("*").alias("n"), F.avg("doc_length").alias("a")).first()
         return r["n"], r["a"] or 0.0
 
@@ -78,14 +88,18 @@ def build_index(documents: DataFrame) -> Index:
 def save_index(index: Index, path: str, fingerprint: str = "") -> None:
     """Tables sorted by what they are looked up by, then a manifest that marks them whole."""
     spark = index.documents.sparkSession
-    index.documents.drop("tokens").write.mode("overwrite").parquet(f"{path}/documents")
+    index.documents.drop("tokens").repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.mode("overwrite").parquet(f"{path}/documents")
     # a frequent term's postings may span files: ranges are cut by (term, doc_id)
-    index.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+    # and they carry what scores and their order need of a document, so that a search joins its page alone
+    facts = index.documents.select("doc_id", "doc_length", "year", F.explode("tokens").alias("term"))
+    postings = facts.groupBy("term", "doc_id").agg(F.count("*").cast("int").alias("tf"), F.first("doc_length").alias("doc_length"), F.first("year").alias("year"))
+    postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
     stored = spark.read.parquet(f"{path}/postings")
     document_frequencies(stored).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/lexicon")
     if index.authors is not None:
         index.authors.repartitionByRange("author_key", "doc_id").sortWithinPartitions("author_key", "doc_id").write.mode("overwrite").parquet(f"{path}/authors")
-    manifest = json.dumps({"format": FORMAT, "source": fingerprint, "authors": index.authors is not None})
+    n, avg = index.corpus()
+    manifest = json.dumps({"format": FORMAT, "source": fingerprint, "authors": index.authors is not None, "documents": n, "avg_length": avg})
     spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
 
 
@@ -101,4 +115,20 @@ def load_index(spark: SparkSession, path: str, fingerprint: str | None = None) -
         return None
     d = spark.read.parquet(f"{path}/documents")
     authors = spark.read.parquet(f"{path}/authors") if manifest["authors"] else None
-    return Index(d.withColumn("tokens", F.filter(F.split("title_key", " "), lambda t: t != "")), spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lexicon"), authors, stored=True)
+    return Index(d.withColumn("tokens", F.filter(F.split("title_key", " "), lambda t: t != "")), spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lexicon"), authors, stored=True, facts=(manifest["documents"], manifest["avg_length"]))
+
+
+_OPEN: dict[tuple[str, str], Index] = {}
+
+
+def stored_index(spark: SparkSession, key: str, documents: Callable[[], DataFrame]) -> Index:
+    """The index of the content `key`, built from documents() and saved where it is not stored yet."""
+    path = f"{store_dir(spark)}/index/{key}"
+    known = (spark.sparkContext.applicationId, path)
+    if known not in _OPEN:
+        found = load_index(spark, path, key)
+        if found is None:
+            save_index(build_index(documents()), path, key)
+            found = load_index(spark, path, key)
+        _OPEN[known] = found
+    return _OPEN[known]

@@ -17,6 +17,8 @@ K1, B = 1.2, 0.75
 STOPWORD_WEIGHT, PHRASE_GAIN = 0.35, 0.85
 #: Up to so many terms a raw corpus is scored by a scan.
 FEW_TERMS = 32
+#: Up to so many hits of a page are fetched by id.
+FEW_HITS = 10_000
 #: The bounded phrase path re-ranks this many times the page, within these limits.
 RERANK, RERANK_LEAST, RERANK_MOST = 16, 256, 4096
 
@@ -111,7 +113,7 @@ def _is(term: str):
 
 
 def scored(index: Index, scoring: list[tuple[str, float]], mode: str, corpus: Facts) -> DataFrame:
-    """doc_id, score, matched, title, journal, year, title_key of every hit.
+    """doc_id, score, matched, year of every hit; from a scan also its title, journal and title_key.
 
     Scores are rounded to 9 places, so that documents with equal texts tie whatever the order of addition.
     """
@@ -132,12 +134,22 @@ def scored(index: Index, scoring: list[tuple[str, float]], mode: str, corpus: Fa
     # weights has a row for each query term: its size is the query's
     weights = F.broadcast(index.documents.sparkSession.createDataFrame(rows, "term string, df long, weight double"))
     hits = index.postings.where(F.col("term").isin([t for t, *_ in rows])).join(weights, "term")
-    parts = hits.join(facts.select("doc_id", "doc_length"), "doc_id")
+    parts = hits if index.stored else hits.join(facts.select("doc_id", "doc_length", "year"), "doc_id")
     part = term_score(F.col("df"), F.col("tf"), F.col("doc_length"), n, avg) * F.col("weight")
-    by_doc = parts.groupBy("doc_id").agg(F.round(F.sum(part), 9).alias("score"), F.count("*").alias("matched"))
-    if mode == "and":
-        by_doc = by_doc.where(F.col("matched") == len(rows))
-    return by_doc.join(facts.drop("doc_length", "tokens"), "doc_id")
+    by_doc = parts.groupBy("doc_id").agg(F.round(F.sum(part), 9).alias("score"), F.count("*").alias("matched"), F.first("year").alias("year"))
+    return by_doc.where(F.col("matched") == len(rows)) if mode == "and" else by_doc
+
+
+def with_texts(index: Index, hits: DataFrame, most: int | None, order: list[Column]) -> DataFrame:
+    """hits with title, journal and title_key. Of a stored index the first `most` in order, if these are few: their rows alone are read."""
+    if "title" in hits.columns:
+        return hits
+    texts = index.documents.select("doc_id", "title", "journal", "title_key")
+    if most is None or most > FEW_HITS:
+        return hits.join(texts, "doc_id")
+    rows = hits.orderBy(*order).limit(most).collect()
+    page = hits.sparkSession.createDataFrame(rows, hits.schema)
+    return texts.where(F.col("doc_id").isin([r["doc_id"] for r in rows])).join(F.broadcast(page), "doc_id")
 
 
 def phrase_gain(phrases: list[list[str]], padded: Column) -> Column:
@@ -163,16 +175,21 @@ def search(index: Index, query: str | SearchPlan) -> tuple[DataFrame, Profile]:
     bounded = plan.mode == "or" and plan.sort == "relevance" and bool(plan.page or plan.size or plan.limit)
     padded = F.concat(F.lit(" "), F.col("title_key"), F.lit(" "))
     first = [F.desc("score")]
-    if plan.phrases:
+    offset, limit = plan.window(hits.count() if plan.needs_total else 1 << 62)
+    best = [F.desc("year"), F.desc("score"), F.asc("doc_id")] if plan.sort == "newest" else [F.desc("score"), F.desc("year"), F.asc("doc_id")]
+    if not plan.phrases:
+        hits = with_texts(index, hits, None if limit is None else offset + limit, best)
+    else:
         if bounded:
-            offset, limit = plan.window(1 << 62)
-            most = min(max(RERANK * (offset + (limit or 0)), RERANK_LEAST), RERANK_MOST)
-            hits = hits.orderBy(F.desc("score"), F.desc("year"), "doc_id").limit(most)
+            offset_, limit_ = plan.window(1 << 62)
+            most = min(max(RERANK * (offset_ + (limit_ or 0)), RERANK_LEAST), RERANK_MOST)
+            hits = with_texts(index, hits, most, best).orderBy(F.desc("score"), F.desc("year"), "doc_id").limit(most)
             hits = hits.withColumn("has_phrase", phrase_gain(plan.phrases, padded) > 0)
             first = [F.desc("has_phrase"), F.desc("score")]
+        else:
+            hits = with_texts(index, hits, None, best)
         hits = hits.withColumn("score", F.round(F.col("score") + phrase_gain(plan.phrases, padded), 9))
     order = [F.desc("year"), *first, F.asc("doc_id")] if plan.sort == "newest" else [*first, F.desc("year"), F.asc("doc_id")]
-    offset, limit = plan.window(hits.count() if plan.needs_total else 1 << 62)
     if plan.mode == "or":
         hits = hits.withColumn("matched", F.lit(len(scoring)).cast("long"))
     page = hits.orderBy(*order)

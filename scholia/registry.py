@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from scholia.functions.text import df_penalty, norm_key, tokens
 from scholia.operators import fuzzy, graph, hot_words, lookup, search, stats
 from scholia.operators import index as ix
-from scholia.shared import shared_dir
+from scholia.shared import content_key, kept, shared_dir
 from scholia.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,7 +46,8 @@ post as (select doc_id, t as term, count(*)::int as tf from (select doc_id, unne
 lex as (select term, count(*) as df from post group by 1),
 st as (select count(*) as n, avg(len(ts)) as a from tok)"""
 PENALTY = "case when df / n >= 0.30 then 0.20 when df / n >= 0.15 then 0.40 when df / n >= 0.05 then 0.65 else 1.0 end"
-STOP = "('" + "','".join(sorted(search.is_query_stopword.__globals__["QUERY_STOPWORDS"])) + "')"
+#: The query stopwords, as SQL has them.
+STOP = "(" + ", ".join(f"'{w}'" for w in "a an and are as at be by for from in into is it of on or that the their this to via we with you".split()) + ")"
 
 
 def bm25_sql(terms: str, having: str = "", gain: str = "0.0", tail: str = "order by score desc, year desc, doc_id limit 20", matched: str = "n_terms", extra: str = "", first: str = "") -> str:
@@ -67,8 +68,17 @@ def values(*terms: str) -> str:
     return "select * from (values " + ", ".join(f"('{t}', 1.0)" for t in terms) + ") as v(term, boost)"
 
 
+def key_of(spark: SparkSession, sf_dir: str, *names: str) -> str:
+    return content_key(spark, {f"{sf_dir}/{n}.parquet": tables.table(spark, sf_dir, n) for n in names})
+
+
+def corpus_index(spark: SparkSession, sf_dir: str) -> ix.Index:
+    """The index of documents, stored under their content."""
+    return ix.stored_index(spark, key_of(spark, sf_dir, "documents"), lambda: tables.corpus(spark, sf_dir))
+
+
 def hits(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    page, _ = search.search(ix.build_index(tables.corpus(spark, sf_dir)), text)
+    page, _ = search.search(corpus_index(spark, sf_dir), text)
     return page.select("doc_id", F.round("score", 4).alias("score"), "year", "matched")
 
 
@@ -235,7 +245,7 @@ def bm25_unbounded(spark, sf_dir):
 
 @query(f"with {TOK} select count(distinct doc_id)::bigint as total_hits from post where term in ('thon', 'erin')")
 def bm25_total_hits(spark, sf_dir):
-    return search.total_hits(ix.build_index(tables.corpus(spark, sf_dir)), "thon erin fuzzy:off")
+    return search.total_hits(corpus_index(spark, sf_dir), "thon erin fuzzy:off")
 
 
 # fuzzy ----------------------------------------------------------------------------------------------
@@ -272,7 +282,7 @@ ASCII_LEX = "(select term, df from lex)"
 
 @query(f"with {TOK}, {fuzzy_sql(ASCII_LEX, 'term', 'df', TYPO, 2, fuzzy.TERMS)} select key as term, w::bigint as df, dist::int as dist, round(boost, 6) as boost from fz")
 def fuzzy_terms(spark, sf_dir):
-    lex = ix.document_frequencies(ix.term_frequencies(_docs(spark, sf_dir)))
+    lex = corpus_index(spark, sf_dir).lexicon
     return fuzzy.fuzzy_candidates(lex, "term", "df", TYPO, 2, fuzzy.TERMS).select("term", "df", "dist", F.round("boost", 6).alias("boost"))
 
 
@@ -295,18 +305,24 @@ yt as (select year, t as term, count(*) as freq from (select year, unnest({sql_t
   where strlen(t) > 1 and not regexp_full_match(t, '[0-9]+') and t not in ({', '.join(f"'{w}'" for w in sorted({*hot_words.BASE_STOPWORDS, *hot_words.ACADEMIC_STOPWORDS, *hot_words.TEMPLATE_WORDS}))}) group by all)"""
 
 
+def _year_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """year, term, freq of the papers, stored under their content by year."""
+    key = key_of(spark, sf_dir, "lineitem", "part", "orders")
+    return kept(spark, key, "year_terms", lambda: hot_words.year_terms(_paper_docs(spark, sf_dir)), ["year", "term"])
+
+
 def _paper_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ix.normalise(tables.papers(spark, sf_dir))
 
 
 @query(f"with {PAPERS} select term, freq::bigint as freq, freq::double as trend_score from yt where year = 1997 order by freq desc, term limit 10")
 def hot_words_year(spark, sf_dir):
-    return hot_words.hot_words(_paper_docs(spark, sf_dir), 1997)
+    return hot_words.top_of_year(_year_terms(spark, sf_dir), 1997)
 
 
 @query(f"with {PAPERS}, r as (select *, row_number() over (partition by year order by freq desc, term) as rank from yt) select year, term, freq::bigint as freq, rank::int as rank from r where rank <= 10")
 def hot_words_all_years(spark, sf_dir):
-    return hot_words.hot_words_by_year(_paper_docs(spark, sf_dir))
+    return hot_words.top_by_year(_year_terms(spark, sf_dir))
 
 
 @query(f"with {PAPERS} select year, count(*)::bigint as docs from pp where title <> '' group by 1")
@@ -316,7 +332,7 @@ def docs_per_year(spark, sf_dir):
 
 @query(f"with {PAPERS} select year, term, freq::bigint as freq from yt")
 def year_term_counts(spark, sf_dir):
-    return hot_words.year_terms(_paper_docs(spark, sf_dir))
+    return _year_terms(spark, sf_dir)
 
 
 @query(f"with {TOK} select term, df::bigint as df from lex where strlen(term) > 1 and not regexp_full_match(term, '[0-9]+') and term not in ({', '.join(repr(w) for w in sorted({*hot_words.BASE_STOPWORDS, *hot_words.ACADEMIC_STOPWORDS, *hot_words.TEMPLATE_WORDS}))})")
@@ -358,28 +374,45 @@ def graph_stats(spark, sf_dir):
     return graph.graph_stats(authors, graph.edges(authors))
 
 
+def _clique_table(spark: SparkSession, sf_dir: str, what: str, most: int) -> DataFrame:
+    """Counts or participation of the part graph to order `most`, stored under the content of the lines, as are its edges."""
+    key = key_of(spark, sf_dir, "lineitem")
+    edges = lambda: kept(spark, key, "edges", lambda: graph.edges(tables.part_authors(spark, sf_dir)), ["src", "dst"])
+    if what == "counts":
+        return kept(spark, key, f"clique_counts_{most}", lambda: graph.clique_counts(edges(), most), ["k"])
+    return kept(spark, key, f"clique_participation_{most}", lambda: graph.clique_participation(edges(), most), ["author_key", "k"])
+
+
+@query(f"""with {PARTS}, {EDGES}, {CLIQUES}
+select author_key, k, count(*)::bigint as cliques from (select a as author_key, 1 as k from k1 where a = '7' union all select unnest([src, dst]), 2 from e where '7' in (src, dst) union all select unnest([a, b, c]), 3 from k3 where '7' in (a, b, c)) where author_key = '7' group by all""")
+def author_participation(spark, sf_dir):
+    """One author's row of the stored table: a lookup."""
+    counted = _clique_table(spark, sf_dir, "participation", 3).where(F.col("author_key") == "7")
+    return counted.select("author_key", "k", F.col("cliques").cast("long").alias("cliques"))
+
+
 @query(f"""with {PARTS}, {EDGES}, {CLIQUES}
 select 1 as k, count(*)::bigint as cliques from k1 union all select 2, count(*) from e union all select 3, count(*) from k3""")
 def clique_counts(spark, sf_dir):
-    counted = graph.clique_counts(graph.edges(tables.part_authors(spark, sf_dir)), 3)
+    counted = _clique_table(spark, sf_dir, "counts", 3)
     return counted.select("k", F.col("cliques").cast("long").alias("cliques"))
 
 
 @query()
 def clique_counts_deep(spark, sf_dir):
-    return graph.clique_counts(graph.edges(tables.part_authors(spark, sf_dir)))
+    return _clique_table(spark, sf_dir, "counts", 8)
 
 
 @query()
 def clique_participation_deep(spark, sf_dir):
-    return graph.clique_participation(graph.edges(tables.part_authors(spark, sf_dir)))
+    return _clique_table(spark, sf_dir, "participation", 8)
 
 
 @query(f"""with {PARTS}, {EDGES}, {CLIQUES},
 m as (select a as author_key, 1 as k from k1 union all select unnest([src, dst]), 2 from e union all select unnest([a, b, c]), 3 from k3)
 select author_key, k, count(*)::bigint as cliques from m group by all""")
 def clique_participation(spark, sf_dir):
-    counted = graph.clique_participation(graph.edges(tables.part_authors(spark, sf_dir)), 3)
+    counted = _clique_table(spark, sf_dir, "participation", 3)
     return counted.select("author_key", "k", F.col("cliques").cast("long").alias("cliques"))
 
 
