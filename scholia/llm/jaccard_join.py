@@ -37,8 +37,8 @@ SKETCH_BITS, SLICES = 24, 64
 FEW_IDS = 1_000_000
 #: Sets of one list in a block of the join of all pairs, and pairs of one set that are verified in one task.
 BLOCK = 1000
-#: 64-bit words of a parity sketch.
-PARITY = 16
+#: Up to so many members a list's pairs are few; beyond, parity sketches of so many 64-bit words (a power of two) go before them.
+SHORT, PARITY = 64, 16
 _SIZES = 4096
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
 
@@ -332,17 +332,24 @@ class JaccardJoin:
         # lists that still span components: members of different ones meet
         labels = components(first).select(F.col("node"), F.col("component").alias("comp"))
         placed = shared.drop("head").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        open_ = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
-        rest = scratch(placed.join(open_, "key", "left_semi"), "rest")
-        rest = self._with_parity(rest)
-        lists = rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        rest = scratch(rest.join(lists, "key"), "dealt")
-        # a block of a list meets the whole list, so a long one is dealt over as many keys as it has blocks
-        x = rest.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).alias("x")
-        y = rest.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("y")
-        apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.comp") < F.col("y.comp"))
-        apart = apart & _allowed(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), num, den) & _near("x", "y", num, den)
-        met = x.join(y, apart).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+        open_ = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("members")).where("c0 <> c1").select("key", "members")
+        rest = scratch(placed.join(open_, "key"), "rest")
+
+        def apart(x: DataFrame, y: DataFrame, more: Column) -> DataFrame:
+            allowed = _allowed(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), num, den)
+            met = x.alias("x").join(y.alias("y"), (F.col("x.key") == F.col("y.key")) & more & (F.col("x.comp") < F.col("y.comp")) & allowed)
+            return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+
+        short = rest.where(F.col("members") <= SHORT).select("key", "node", "n", "pos", "comp")
+        met = apart(short, short, F.lit(True))
+        long = rest.where(F.col("members") > SHORT)
+        if not long.isEmpty():
+            sketched = scratch(self._with_parity(long).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")), "sketched")
+            # a block of a list meets the whole list, so a long one is dealt over as many keys as it has blocks
+            x = sketched.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+            y = sketched.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            met = met.unionByName(apart(x, y, (F.col("x.block") == F.col("y.block")) & _near("x", "y", num, den)))
+        met = met.distinct()
         second = self._links(met.join(stars, ["a", "b"], "left_anti"))
         links = scratch(first.unionByName(second), "links")
         labels = scratch(components(links), "components")

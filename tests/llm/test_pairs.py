@@ -90,6 +90,7 @@ def test_low_thresholds(spark, monkeypatch, num, den, limit):
     if limit is not None:
         monkeypatch.setattr(jaccard_join, "light_limit", lambda *a: limit)
     monkeypatch.setattr(jaccard_join, "BLOCK", 3)
+    monkeypatch.setattr(jaccard_join, "SHORT", 2)
     r = Random(limit or 0)
     rows = [(1, "a"), (2, "a b"), (3, "zz yy"), (4, "zz yy xx"), (5, "q"), (6, "q w e"), (7, "m n o"), (8, "n o p"), (9, "o p m n")]
     rows += [(10 + i, " ".join(r.choice("abcdefghijklmnopqrstuvwxyz") + str(i // 12) for _ in range(r.randrange(1, 9)))) for i in range(120)]
