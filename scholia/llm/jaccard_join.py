@@ -266,7 +266,12 @@ class JaccardJoin:
 
     def _compared(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """a, b, x, y: the pairs with their sets (of, body). One set of each pair, a, may stand in very many of them: it is dealt over as many keys as these are blocks."""
-        many = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("a", F.ceil(F.col("n") / BLOCK).cast("int").alias("deals"))
+        many = scratch(pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("a", F.ceil(F.col("n") / BLOCK).cast("int").alias("deals")), "many")
+        n = many.count()
+        if not n:
+            one = pairs.join(sets.withColumnRenamed("of", "b").withColumnRenamed("body", "y"), "b")
+            return one.join(sets.withColumnRenamed("of", "a").withColumnRenamed("body", "x"), "a").select("a", "b", "x", "y")
+        many = F.broadcast(many) if n <= FEW_IDS else many
         dealt = pairs.join(many, "a", "left").withColumn("deal", F.when(F.col("deals").isNull(), 0).otherwise(F.pmod(F.xxhash64("b"), F.col("deals"))).cast("int")).drop("deals")
         one = dealt.join(sets.withColumnRenamed("of", "b").withColumnRenamed("body", "y"), "b")
         held = sets.withColumnRenamed("of", "a").withColumnRenamed("body", "x").join(many, "a", "left")
