@@ -6,17 +6,20 @@ import re
 from collections.abc import Iterator
 
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from scholia.functions.text import tokens, year_of
+from scholia.shared import cut
 
 #: Record tags, and fields with the column they fill.
 RECORDS = "article inproceedings proceedings book incollection phdthesis mastersthesis www".split()
 FIELDS = {"title": "title", "author": "author", "year": "year", "journal": "journal", "booktitle": "journal", "volume": "volume", "month": "month", "cdrom": "cdrom", "ee": "ee", "url": "url"}
 CHUNK = 32 << 20
-_OPEN = re.compile(rb"<(" + "|".join(RECORDS).encode() + rb")(?=[\s>/])")
+#: Comments and CDATA sections whole (or their opening mark, where the end is not at hand), and record tags.
+_TAG = re.compile(rb"<!--(?:.*?-->)?|<!\[CDATA\[(?:.*?\]\]>)?|<(/?)(" + "|".join(RECORDS).encode() + rb")(?=[\s/>])", re.S)
+_MARK, _HEAD, _BACK = re.compile(rb"<!--|-->|<!\[CDATA\[|\]\]>"), re.compile(rb"[^>]*>"), 1 << 16
 _ANY = re.compile(rb"<!--.*?-->|<!\[CDATA\[(.*?)\]\]>|<\?.*?\?>|<![^>]*>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
 _XML = {b"&lt;": b"<", b"&gt;": b">", b"&quot;": b'"', b"&apos;": b"'", b"&amp;": b"&"}
 RAW = "part int, ord long, title string, authors array<string>, journal string, year string, volume string, month string, cdrom string, ee string, url string"
@@ -62,30 +65,99 @@ def parse_record(body: bytes) -> dict:
     return out
 
 
+def _inside(read, start: int, size: int) -> int:
+    """Where the comment or CDATA section ends that position `start` lies in; `start` itself, if in none.
+
+    What opened last before it and is not closed before it holds it; blocks are read backwards until an
+    opening or an end has been seen, so a range needs the bytes since the last of them, and no other range.
+    """
+    at, tail = start, read(start, min(size, start + 8))  # a mark may straddle the start
+    while at > 0:
+        a = max(0, at - _BACK)
+        data = read(a, at) + tail
+        marks = [(m.start(), m[0]) for m in _MARK.finditer(data) if a + m.start() < start]
+        if marks:
+            # an opening inside an open section is text: the first opening after the last end counts
+            ends = [i for i, (_, x) in enumerate(marks) if x in (b"-->", b"]]>")]
+            after = marks[ends[-1] + 1 :] if ends else marks
+            if not after:
+                return start
+            if ends or a == 0:
+                end = b"-->" if after[0][1] == b"<!--" else b"]]>"
+                return _find(read, a + after[0][0] + len(after[0][1]), end, size)
+        at, tail = a, data[:8] if not marks else data
+    return start
+
+
+def _find(read, at: int, mark: bytes, size: int) -> int:
+    """The position after the next mark; the end of the file, if there is none."""
+    data = b""
+    while at < size:
+        more = read(at, min(size, at + _BACK))
+        found = (data + more).find(mark)
+        if found >= 0:
+            return at - len(data) + found + len(mark)
+        at, data = at + len(more), more[-len(mark) :]
+    return size
+
+
 def records(read, start: int, stop: int, size: int) -> Iterator[dict]:
-    """Records whose opening tag begins in [start, stop); read(a, b) gives bytes; one without its closing tag is dropped."""
+    """Records whose opening tag begins in [start, stop); read(a, b) gives bytes; one without its closing tag is dropped.
+
+    Tags within comments and CDATA sections are none, wherever these begin.
+    """
+    base = _inside(read, start, size)
     # a tag may straddle the end of the range: look a little beyond it
-    data, base, at = read(start, min(size, stop + 64)), start, 0
+    data, at = read(base, min(size, max(stop, base) + 64)), 0
+
+    def more() -> bool:
+        nonlocal data
+        if base + len(data) >= size:
+            return False
+        data += read(base + len(data), min(size, base + len(data) + (1 << 20)))
+        return True
+
+    def token(at: int) -> re.Match | None:
+        """The next comment, CDATA section or record tag, whole; None: there is no further one."""
+        while True:
+            m = _TAG.search(data, at)
+            # what an opening mark begins may end beyond the bytes at hand
+            if m and m[0] not in (b"<!--", b"<![CDATA["):
+                return m
+            if not m and base + len(data) >= stop + 64:
+                return None
+            if not more():
+                return None
+
     while True:
-        m = _OPEN.search(data, at)
+        m = token(at)
         if not m or base + m.start() >= stop:
             return
-        head = re.compile(rb"[^>]*>").match(data, m.end())
-        close = b"</" + m[1] + b">"
-        end = data.find(close, m.end())
-        while end < 0 and base + len(data) < size:
-            more = read(base + len(data), min(size, base + len(data) + (1 << 20)))
-            seen = max(len(data) - len(close), m.end())
-            data += more
-            end = data.find(close, seen)
-            head = head or re.compile(rb"[^>]*>").match(data, m.end())
-        if end < 0 or not head:
-            return
+        at = m.end()
+        if m[2] is None or m[1]:
+            continue
+        name, first = m[2], m.end()
+        while not (head := _HEAD.match(data, first)):
+            if not more():
+                return
+        at = head.end()
         if head[0].endswith(b"/>"):
-            at = head.end()
             continue
-        yield parse_record(data[head.end() : end])
-        at = end + len(close)
+        # to the record's own closing tag
+        while True:
+            m = _TAG.search(data, at)
+            if not m or m[0] in (b"<!--", b"<![CDATA[") or m.end() > len(data) - 2:
+                if not more():
+                    if not m or m[0] in (b"<!--", b"<![CDATA["):
+                        return
+                else:
+                    continue
+            if m[2] is not None and m[1] and m[2] == name:
+                yield parse_record(data[head.end() : m.start()])
+                close = data.find(b">", m.end())
+                at = m.end() if close < 0 else close + 1
+                break
+            at = m.end()
 
 
 class _Range(InputPartition):
@@ -145,17 +217,10 @@ def read_bibliography(spark: SparkSession, path: str, chunk_bytes: int = CHUNK)
     """Documents with dense ids in file order. Ids are each partition's ordinals plus the records before it."""
     spark.dataSource.register(BibliographySource)
     raw = spark.read.format("bibliography").option("chunkBytes", chunk_bytes).load(path)
-    counts = sorted((r["part"], r["n"]) for r in raw.groupBy("part").agg(F.count("*").alias("n")).collect())
-    parts, before, total = [p for p, _ in counts], [], 0
-    for _, n in counts:
-        before.append(total)
-        total += n
-    if parts:
-        # two numbers a partition of the file
-        table = F.create_map(*[F.lit(x) for pair in zip(parts, before, strict=True) for x in pair])
-        doc_id = (F.element_at(table, F.col("part")) + F.col("ord")).cast("long")
-    else:
-        doc_id = F.col("ord")
-    d = raw.withColumn("doc_id", doc_id).withColumn("year", year_of(F.col("year")))
+    raw = cut(raw)  # the dump is parsed once
+    counts = raw.groupBy("part").agg(F.count("*").alias("n"))
+    # a row for each range of the dump; they are summed up in one task and joined
+    before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    d = raw.join(before, "part").withColumn("doc_id", F.col("before") + F.col("ord")).withColumn("year", year_of(F.col("year")))
     return d.select("doc_id", "title", "authors", "journal", "year", F.size(tokens(F.col("title"))).alias("doc_length"), "volume", "month", "cdrom", "ee", "url")
 

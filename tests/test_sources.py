@@ -20,6 +20,17 @@ def test_any_split_gives_the_same_records(chunk):
     assert len(whole) == 4 and scan(data, chunk) == whole
 
 
+HIDDEN = """<d><!-- <article><title>ghost</title></article> --><article><title>one <![CDATA[see </article> <article> tag]]></title><year>2001</year></article>
+<![CDATA[<www><title>no</title></www>]]><!-- a --><!-- b <![CDATA[ --><www><title>two</title><!-- </www> <year>1</year> --><year>2002</year></www><book><title>x <!-- y</title></book>"""
+
+
+@pytest.mark.parametrize("chunk", [*range(1, 90), 400])
+def test_comments_and_cdata_hide_tags(chunk):
+    data = HIDDEN.encode()
+    got = scan(data, chunk)
+    assert [(r["title"], r["year"]) for r in got] == [("one see </article> <article> tag", "2001"), ("two", "2002")]
+
+
 def test_fields():
     first, second, third, fourth = scan(XML.encode(), 1 << 20)
     assert first["authors"] == ["A B", "C D 0001"] and first["title"] == "Deep Graph nets." and first["journal"] == "J &lt; K" and first["ee"] == "two"
