@@ -38,6 +38,8 @@ DENSE = 64
 FAN_IN = 32
 _PIECE, _COUNTED = 1 << 19, 300_000
 _BLOCK, _ROWS = 1 << 14, 1 << 10
+#: Positions scored at once: few enough that a core's cache holds what they take.
+_AT_ONCE = 1 << 12
 
 
 def words(text: str | None) -> Iterator[list[bytes]]:
@@ -182,22 +184,23 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return z
 
 
-def _sums(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """(n, columns): sums of the values' rows by their numbers below n."""
-    width = values.shape[1]
-    cells = np.add.outer(at * width, np.arange(width)).ravel()
-    return np.bincount(cells, values.ravel(), n * width).reshape(n, width).astype(values.dtype)
+def _sums(at: np.ndarray, values: np.ndarray, n: int, scale: np.ndarray | None = None) -> np.ndarray:
+    """(n, columns): sums of the values' rows, each times its scale, by their numbers below n."""
+    out = np.empty((n, values.shape[1]), values.dtype)
+    for k in range(values.shape[1]):
+        out[:, k] = np.bincount(at, values[:, k] if scale is None else values[:, k] * scale, n)
+    return out
 
 
-def _by_row(rows: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct rows of n, the sums of their values, and how often each came."""
+def _by_row(rows: np.ndarray, values: np.ndarray, n: int, scale: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows of n, the sums of their values, each times its scale, and how often each came."""
     present = np.zeros(n, bool)
     present[rows] = True
     some = np.flatnonzero(present)
     place = np.empty(n, np.int64)
     place[some] = np.arange(len(some))
     at = place[rows]
-    return some, _sums(at, values, len(some)), np.bincount(at, minlength=len(some))
+    return some, _sums(at, values, len(some), scale), np.bincount(at, minlength=len(some))
 
 
 def gradients(p: dict[str, np.ndarray], vocabulary: Vocabulary, ids: np.ndarray) -> dict[str, tuple]:
@@ -235,10 +238,8 @@ def gradients(p: dict[str, np.ndarray], vocabulary: Vocabulary, ids: np.ndarray)
         d = _sigmoid(np.einsum("ij,ij->i", hidden, v))
         d -= vocabulary.rest_turns[at]
         d /= len(target)
-        v *= d[:, None]
-        dh += _sums(np.repeat(np.arange(len(target)), count), v, len(target))[:, :HIDDEN]
-        hidden *= d[:, None]
-        out["node"] = tuple(np.concatenate(x) for x in zip(out["node"], _by_row(nodes, hidden, len(p["node"])), strict=True))
+        dh += _sums(np.repeat(np.arange(len(target)), count), v[:, :HIDDEN], len(target), d)
+        out["node"] = tuple(np.concatenate(x) for x in zip(out["node"], _by_row(nodes, hidden, len(p["node"]), d), strict=True))
     dh *= 1 - h * h
     whole = np.zeros((n, HIDDEN), h.dtype)
     whole[asked] = dh
@@ -448,8 +449,8 @@ class Network:
         """log p(token | both sides) at the positions of a padded sequence."""
         out = np.empty(len(at))
         top, bias = self.node[:DENSE, :HIDDEN], self.node[:, HIDDEN]
-        for a in range(0, len(at), _BLOCK):
-            k = at[a : a + _BLOCK]
+        for a in range(0, len(at), _AT_ONCE):
+            k = at[a : a + _AT_ONCE]
             h = self.b + sum(table.take(ids[k + side - REACH], axis=0) for table, side in zip(self.tables, _SIDES, strict=True))
             np.tanh(h, out=h)
             total = np.ones(len(k))
