@@ -13,6 +13,8 @@ from scholia.shared import shared_dir
 SPACE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Bytes of an Arrow batch: both the JVM, off its heap, and a Python worker hold a batch several times over.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +31,13 @@ def one_thread(spark: SparkSession) -> None:
     spark.sparkContext.environment.setdefault("OMP_NUM_THREADS", "1")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches planned from here on have about BATCH_BYTES, however long their rows are. A setting of the session's own stands."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def scratch(df: DataFrame, name: str) -> DataFrame:
     """df written once as Parquet in the shared folder and read again: lineage ends in files that survive executors."""
     spark = df.sparkSession

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholia.llm.common import scratch
+from scholia.llm.common import bounded_batches, scratch
 from scholia.llm.components import components
 from scholia.llm.shingles import mix, shingle_sets
 
@@ -240,6 +240,7 @@ class JaccardJoin:
     def __init__(self, docs: DataFrame, n_words: int = 5, num: int = 4, den: int = 5):
         self.docs, self.n_words, self.num, self.den = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), n_words, num, den
         self.spark = docs.sparkSession
+        bounded_batches(self.spark)
 
     def _order(self) -> tuple[bytes, int]:
         """The sketch's classes, a table of fixed size, and the light limit."""

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholia.llm.common import one_thread
+from scholia.llm.common import bounded_batches, one_thread
 
 UNDETERMINED = "und"
 HIDDEN, WIDTH = 12, 64
@@ -208,6 +208,7 @@ def sample(docs: DataFrame) -> list[tuple[str, str]]:
     document are taken at hashed positions, so no more than that is sent to the driver.
     """
     one_thread(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(DOCS_IN_ALL).collect()}
     if not counts:

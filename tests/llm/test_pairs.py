@@ -7,9 +7,12 @@ from itertools import combinations
 from random import Random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from scholia.llm import html_extract, jaccard_join, topk
+from scholia.llm.common import BATCH_BYTES, bounded_batches
 from scholia.llm.components import components
 from scholia.llm.queries import ORACLES, QUERIES
 from scholia.llm.shingles import shingle_sets
@@ -325,3 +328,23 @@ def test_pipeline(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, str(tmp_path))
     assert empty.count() == 0
+
+
+def test_arrow_batches_are_bounded_by_bytes(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())})
+
+    try:
+        spark.conf.unset(key)
+        bounded_batches(spark)
+        long_rows = spark.range(0, 200, 1, 1).select(F.repeat(F.lit("x"), BATCH_BYTES // 50).alias("t"))
+        counts = [r["n"] for r in long_rows.mapInArrow(sizes, "n long").collect()]
+        assert sum(counts) == 200 and max(counts) <= 100
+        spark.conf.set(key, "123456")
+        bounded_batches(spark)
+        assert spark.conf.get(key) == "123456"
+    finally:
+        spark.conf.unset(key)
