@@ -61,7 +61,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.scaled(table(spark, sf_dir, "embeddings"))
-    return topk.search(vectors, vectors.where("vec_id % 20 = 0"))
+    return topk.search(vectors, vectors.where("vec_id % 20 = 0"), own_row=True)
 
 
 QUERIES = {

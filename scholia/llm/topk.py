@@ -59,43 +59,63 @@ def _matrix(column) -> np.ndarray:
     return out
 
 
-def _cell(k: int):
+def _cell(k: int, own_row: bool):
     import pandas as pd
 
     def run(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("vec_id", kind="stable")
-        ids, vectors, rows = block["vec_id"].to_numpy(), _matrix(block["v"]), []
+        rows = []
         if len(queries) and len(block):
+            block = block.sort_values(["known", "vec_id"], ascending=[False, True], kind="stable")
+            ids, known, vectors = block["vec_id"].to_numpy(), block["known"].to_numpy(), _matrix(block["body"])
             asked = queries["vec_id"].to_numpy()
             q = _matrix(queries["v"])
+            raw = list(block["body"])
+            # candidates stand in the order of ties
+            places = np.arange(len(ids))
             for a in range(0, len(q), _TILE):
-                for query, row, scores in zip(asked[a : a + _TILE], queries["row"].to_numpy()[a : a + _TILE], accumulate(q[a : a + _TILE], vectors), strict=True):
-                    other = np.flatnonzero(ids != query)
-                    for j in other[best(scores[other], ids[other], k)]:
-                        rows.append((query, row, ids[j], int(scores[j])))
-        return pd.DataFrame(rows, columns=["query_id", "row", "vec_id", "score"])
+                for at, scores in enumerate(accumulate(q[a : a + _TILE], vectors), a):
+                    query, row = asked[at], queries["row"].iloc[at]
+                    mine = known & (ids == query)
+                    other = places if own_row else np.flatnonzero(~mine)
+                    for j in other[best(scores[other], places[other], k + own_row)]:
+                        same = bool(own_row and mine[j] and np.array_equal(raw[j], queries["v"].iloc[at]))
+                        # the query's own score is never shown, so it may exceed a long
+                        score = min(int(scores[j]), 2**63 - 1) if same else int(scores[j])
+                        rows.append((query, row, ids[j] if known[j] else None, score, same))
+        out = pd.DataFrame(rows, columns=["query_id", "row", "vec_id", "score", "same"])
+        return out.assign(vec_id=pd.array([r[2] for r in rows], dtype="Int64"))
 
     return run
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = K, query_block: int = QUERY_BLOCK, block: int = BLOCK) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = K, query_block: int = QUERY_BLOCK, block: int = BLOCK, own_row: bool = False) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of queries its k highest integer inner products with rows of vectors.
 
     Both tables have vec_id long and v array<double> of whole numbers; terms that one vector lacks count
-    nothing. A row's own vec_id is no candidate. Ties go to the smaller vec_id. Rows without an id are
-    left out. Repeated rows are queries and candidates each for itself. Fewer than k candidates: all.
+    nothing. A row's own vec_id is no candidate, and rows without an id are left out. With own_row, queries
+    are rows of vectors, and every row but the query's own is a candidate: others of its vec_id are, and so are
+    rows without an id, after the others in ties. Ties go to the smaller vec_id. Repeated rows are queries and
+    candidates each for itself. Fewer than k candidates: all.
     """
-    vectors, queries = vectors.where("vec_id is not null"), queries.where("vec_id is not null")
+    queries = queries.where("vec_id is not null")
+    vectors = vectors if own_row else vectors.where("vec_id is not null")
     n, m = vectors.count(), queries.count()
     blocks, groups = max(1, -(-n // block)), max(1, -(-m // query_block))
     each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     # repeated rows would meet in one block: their position in the file deals them out as well
+    # cogroup hashes each side's keys as they are, so g and b must have one type on both sides: an int and a long of one value part
     salt = F.pmod(F.xxhash64(F.col("vec_id"), F.col("v"), F.monotonically_increasing_id()), F.lit(1 << 40))
-    left = queries.select("vec_id", "v", salt.alias("row")).select("*", (F.col("row") % groups).alias("g"), each(blocks).alias("b"))
-    right = vectors.select("vec_id", "v", (salt % blocks).alias("b")).select("*", each(groups).alias("g"))
-    cells = left.groupBy("g", "b").cogroup(right.groupBy("g", "b")).applyInPandas(_cell(k), "query_id long, row long, vec_id long, score long")
-    order = Window.partitionBy("query_id", "row").orderBy(F.desc("score"), "vec_id")
-    return cells.select("*", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    left = queries.select("vec_id", "v", salt.alias("row")).select("*", (F.col("row") % groups).cast("int").alias("g"), each(blocks).alias("b"))
+    held = vectors.select(F.coalesce("vec_id", F.lit(0)).alias("vec_id"), F.col("vec_id").isNotNull().alias("known"), F.col("v").alias("body"), (salt % blocks).cast("int").alias("b"))
+    right = held.select("*", each(groups).alias("g"))
+    cells = left.groupBy("g", "b").cogroup(right.groupBy("g", "b")).applyInPandas(_cell(k, own_row), "query_id long, row long, vec_id long, score long, same boolean")
+    order = Window.partitionBy("query_id", "row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
+    ranked = cells.select("*", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k + own_row)
+    if own_row:
+        # rows of one id and score are alike in the result, so the first copy of the query goes as its own row
+        ranked = ranked.select("*", F.count_if("same").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("copies"))
+        ranked = ranked.where(~(F.col("same") & (F.col("copies") == 1))).withColumn("rank", (F.col("rank") - F.least("copies", F.lit(1))).cast("int"))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def scaled(vectors: DataFrame, by: int = 64) -> DataFrame:

@@ -297,6 +297,42 @@ def test_search_odd_rows(spark):
     assert topk.search(few, few.where("vec_id = 0")).count() == 2
 
 
+def test_search_own_row_only(spark, tmp_path):
+    """By the contract every row but the query's own is a candidate: rows that repeat its id, or have none, are too."""
+    rows = [(i, [R.choice((-1.0, -0.5, 0.0, 0.25, 1.0)) for _ in range(6)]) for i in range(100)]
+    rows += [(20, [1.0] * 6), (40, rows[40][1]), (40, rows[40][1]), (None, [1.0] * 6), (None, rows[60][1]), (60, None), (2**60 + 1, [1.0] * 6), (80, [0.0] * 6)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    fine = [(i, [int(np.floor(64 * x)) for x in e]) for i, e in rows if e is not None]
+    want = []
+    for at, (q, x) in enumerate(fine):
+        if q is not None and q % 20 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(x, y)), i is None, i or 0) for j, (i, y) in enumerate(fine) if j != at)[:20]
+            want += [(q, k + 1, None if none else i, -s) for k, (s, none, i) in enumerate(scored)]
+    vectors = topk.scaled(spark.read.parquet(f"{tmp_path}/embeddings.parquet"))
+    blocks = topk.search(vectors, vectors.where("vec_id % 20 = 0"), 20, 4, 16, own_row=True)
+    for got in (QUERIES["op10_topk_search"](spark, str(tmp_path)), blocks):
+        assert Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got.collect()) == Counter(want)
+
+
+def test_search_loses_no_query_in_many_partitions(spark):
+    """Cells of both sides must meet when partitions are not coalesced."""
+    rows = [(i, [float(R.randrange(-9, 9)) for _ in range(4)]) for i in range(400)]
+    v = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = topk.search(v, v.where("vec_id % 20 = 0"), 20, 5, 50).collect()
+    finally:
+        for k, x in held.items():
+            spark.conf.set(k, x)
+    want = []
+    for q, x in rows[::20]:
+        scored = sorted((-int(sum(a * b for a, b in zip(x, y))), i) for i, y in rows if i != q)[:20]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored)]
+    assert Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == Counter(want)
+
+
 def test_accumulate_is_exact():
     for top in (3, 5000, 2**26, 2**40):
         rng = np.random.default_rng(top)
