@@ -35,11 +35,15 @@ from scholia.llm.shingles import mix, shingle_sets
 SKETCH_BITS, SLICES = 24, 64
 #: Ids of documents whose sets are fetched are broadcast up to this many, and joined beyond.
 FEW_IDS = 1_000_000
+#: Copies (set and id) that are broadcast.
+FEW_COPIES = 300_000
 #: Sets of one list in a block of the join of all pairs, and pairs of one set that are verified in one task.
 BLOCK = 1000
 #: Up to so many members a list's pairs are few; beyond, parity sketches of so many 64-bit words (a power of two) go before them.
 SHORT, PARITY = 64, 16
 _SIZES = 4096
+#: What a list entry is counted to meet at most: a member meets its list's head, however long the list.
+MET = 2.0
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -255,7 +259,8 @@ class JaccardJoin:
             else:
                 classes[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(zlib.decompress(r["body"]), np.uint8)
                 n, some = n + r["n"], some + r["some"]
-        return zlib.compress(classes.tobytes(), 1), light_limit(sizes, n / max(some, 1), self.num, self.den)
+        # in a sketch much fuller than its buckets, and where texts have many copies, the mean of a bucket is no list's length
+        return zlib.compress(classes.tobytes(), 1), light_limit(sizes, min(n / max(some, 1), MET), self.num, self.den)
 
     def _links(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) whose sets link, compared whole."""
@@ -322,17 +327,24 @@ class JaccardJoin:
         known = entries.where("n > 0 and doc_id is not null")
         # copies fold map-side into one head; its keys are found by head and set, so no group of copies meets in a task
         heads = scratch(known.groupBy("fp").agg(F.min("doc_id").alias("node")), "heads")
-        nodes = known.withColumnRenamed("doc_id", "node").join(heads, ["fp", "node"], "left_semi")
+        homes = scratch(known.select("doc_id", "fp").join(heads, "fp"), "homes")
+        copies = scratch(homes.where("doc_id <> node").select("fp", F.col("doc_id").alias("node")).distinct(), "copies")
+        nodes = known.withColumnRenamed("doc_id", "node")
+        # entries are moved to their heads only where the copies are too many to be sent round
+        few = copies.count() <= FEW_COPIES
+        nodes = nodes.join(F.broadcast(copies), ["fp", "node"], "left_anti") if few else nodes.join(heads, ["fp", "node"], "left_semi")
         postings = nodes.select("node", "n", F.explode("keys").alias("k")).select("node", "n", "k.key", "k.pos")
-        lists = postings.groupBy("key").agg(F.min(F.struct("node", "n", "pos")).alias("head"), F.count("*").alias("members")).where("members > 1").drop("members")
-        shared = scratch(postings.join(lists.hint("shuffle_hash"), "key"), "shared")
+        # most keys are one set's alone: they are counted by themselves, and heads are sought in the lists that remain
+        lists = postings.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").drop("members")
+        shared = scratch(postings.join(lists.hint("shuffle_hash"), "key"), "listed")
+        led = shared.groupBy("key").agg(F.min(F.struct("node", "n", "pos")).alias("head"))
+        shared = scratch(shared.join(led.hint("shuffle_hash"), "key"), "shared")
         # every member meets the head of its list
         h = F.col("head")
         stars = shared.where((F.col("node") != h["node"]) & _allowed(F.col("n"), F.col("pos"), h["n"], h["pos"], num, den))
         stars = scratch(stars.select(h["node"].alias("a"), F.col("node").alias("b")).distinct(), "stars")
         first = self._links(stars)
         # an id that stands on several texts ties them
-        homes = scratch(known.select("doc_id", "fp").join(heads, "fp"), "homes")
         several = homes.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("a", "b")
         first = scratch(first.unionByName(several), "links")
         # lists that still span components: members of different ones meet

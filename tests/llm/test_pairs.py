@@ -165,6 +165,25 @@ def test_light_limit_follows_cost():
     assert limits == sorted(limits) and limits[0] < limits[-1]
 
 
+def test_copies_and_a_full_sketch_make_no_more_keys(spark, monkeypatch):
+    """Where a bucket's mean is high, by copies or by other elements, sets still stand in lists: 2-subsets of long prefixes are many times the entries."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**9, 120)) for _ in range(20)]
+    seen, limit = [], jaccard_join.light_limit
+    monkeypatch.setattr(jaccard_join, "light_limit", lambda *a: seen.append(limit(*a)) or seen[-1])
+    docs = spark.createDataFrame([(k * 20 + i, t) for k in range(60) for i, t in enumerate(texts)], "doc_id long, text string")
+    join = jaccard_join.JaccardJoin(docs, 4, 85, 100)
+    # 117 shingles, of which a link shares 100: 18 entries, but 171 subsets of two
+    assert {len(r["keys"]) for r in join._entries().collect()} == {18}
+    assert seen[0] < 117
+    members, _ = join.run()
+    assert {(r["node"], r["component"]) for r in members.collect()} == {(i, i) for i in range(20)}
+    # as many copies as are not sent round
+    monkeypatch.setattr(jaccard_join, "FEW_COPIES", 0)
+    again, _ = join.run()
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, members.collect()))
+
+
 def test_components(spark):
     edges = [(R.randrange(60), R.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)]
     up = {}
