@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,6 +17,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of an Arrow batch: both the JVM, off its heap, and a Python worker hold a batch several times over.
 BATCH_BYTES = 4 << 20
+#: A table that took so many seconds has shuffle files that should not wait for the driver's next collection, which
+#: reaches them when listeners have seen the plan's end and Python's releases have come to the JVM.
+LARGE_S, RELEASE_S = 5, 1.5
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,13 +44,30 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def scratch(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet in the shared folder and read again: lineage ends in files that survive executors."""
-    spark = df.sparkSession
+    """df written once as Parquet in the shared folder and read again: lineage ends in files that survive executors.
+
+    Shuffle files go when the driver's JVM has collected the plan that wrote them; after a large table it is told to.
+    """
+    spark, began = df.sparkSession, time.monotonic()
     path = f"{shared_dir(spark)}/scholia-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if time.monotonic() - began > LARGE_S:
+        gc.collect()
+        for _ in range(2):
+            time.sleep(RELEASE_S)
+            spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Deletes scratch tables from which nothing that is still to run reads."""
+    for t in tables:
+        sc, files = t.sparkSession.sparkContext, t.inputFiles()
+        if files:
+            path = sc._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def numbered(df: DataFrame, order: list[Column]) -> DataFrame:
     """df with `number`, from 0, along a total order: ranges are sorted each for itself, and numbers start after the rows of the ranges before."""
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)

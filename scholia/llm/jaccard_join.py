@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholia.llm.common import bounded_batches, scratch
+from scholia.llm.common import bounded_batches, forget, scratch
 from scholia.llm.components import components
 from scholia.llm.shingles import mix, shingle_sets
 
@@ -268,7 +268,9 @@ class JaccardJoin:
         ids = scratch(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
         wanted = F.broadcast(ids) if ids.count() <= FEW_IDS else ids
         sets = scratch(self.docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(self.n_words), "doc_id long, body binary"), "sets")
-        return scratch(self._compared(pairs, sets.withColumnRenamed("doc_id", "of")).mapInArrow(_verify(self.num, self.den), "a long, b long"), "links")
+        links = scratch(self._compared(pairs, sets.withColumnRenamed("doc_id", "of")).mapInArrow(_verify(self.num, self.den), "a long, b long"), "links")
+        forget(pairs, ids, sets)
+        return links
 
     def _compared(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """a, b, x, y: the pairs with their sets (of, body). One set of each pair, a, may stand in very many of them: it is dealt over as many keys as these are blocks."""
@@ -336,9 +338,13 @@ class JaccardJoin:
         postings = nodes.select("node", "n", F.explode("keys").alias("k")).select("node", "n", "k.key", "k.pos")
         # most keys are one set's alone: they are counted by themselves, and heads are sought in the lists that remain
         lists = postings.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").drop("members")
-        shared = scratch(postings.join(lists.hint("shuffle_hash"), "key"), "listed")
-        led = shared.groupBy("key").agg(F.min(F.struct("node", "n", "pos")).alias("head"))
-        shared = scratch(shared.join(led.hint("shuffle_hash"), "key"), "shared")
+        listed = scratch(postings.join(lists.hint("shuffle_hash"), "key"), "listed")
+        # the keys, most of what was made so far, are not read again
+        sizes = scratch(entries.select("doc_id", "n", "fp"), "sizes")
+        forget(entries)
+        led = listed.groupBy("key").agg(F.min(F.struct("node", "n", "pos")).alias("head"))
+        shared = scratch(listed.join(led.hint("shuffle_hash"), "key"), "shared")
+        forget(listed)
         # every member meets the head of its list
         h = F.col("head")
         stars = shared.where((F.col("node") != h["node"]) & _allowed(F.col("n"), F.col("pos"), h["n"], h["pos"], num, den))
@@ -352,6 +358,7 @@ class JaccardJoin:
         placed = shared.drop("head").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         open_ = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("members")).where("c0 <> c1").select("key", "members")
         rest = scratch(placed.join(open_, "key"), "rest")
+        forget(shared)
 
         def apart(x: DataFrame, y: DataFrame, more: Column) -> DataFrame:
             allowed = _allowed(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), num, den)
@@ -371,7 +378,7 @@ class JaccardJoin:
         second = self._links(met.join(stars, ["a", "b"], "left_anti"))
         links = scratch(first.unionByName(second), "links")
         labels = scratch(components(links), "components")
-        members = entries.select("doc_id", "n", "fp").join(homes.distinct(), ["doc_id", "fp"], "left").join(labels, "node", "left")
+        members = sizes.join(homes.distinct(), ["doc_id", "fp"], "left").join(labels, "node", "left")
         return members.select("doc_id", "n", "node", F.coalesce("component", "node", "doc_id").alias("component")), links
 
 

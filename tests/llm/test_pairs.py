@@ -403,3 +403,44 @@ def test_arrow_batches_are_bounded_by_bytes(spark):
         assert spark.conf.get(key) == "123456"
     finally:
         spark.conf.unset(key)
+
+
+def test_large_scratch_tables_leave_no_shuffle_files(spark, monkeypatch):
+    """The shuffle files behind a large table go once it is written, so those of the join's steps do not lie side by side."""
+    import time
+
+    from scholia.llm import common
+
+    monkeypatch.setattr(common, "LARGE_S", 0, raising=False)
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = disk.getAllFiles()
+        found = [files.apply(k) for k in range(files.size())]
+        return sum(f.length() for f in found if f.getName().startswith("shuffle_") and f.getName().endswith(".data"))
+
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(2)
+    before = shuffled()
+    common.scratch(spark.range(200_000).selectExpr("hash(id) as h", "id").repartition(4, "h"), "t")
+    for _ in range(10):
+        if shuffled() - before < 20_000:
+            break
+        time.sleep(0.5)
+    assert shuffled() - before < 20_000
+
+
+def test_join_deletes_its_entries(spark):
+    """Tables of keys and sets are gone when the groups are known, and the groups are right."""
+    import os
+
+    from scholia.llm import common
+
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text), (2, text + " x"), (3, text), (4, "other words stand in this one"), (5, None)], "doc_id long, text string")
+    common.clear_scratch(spark)
+    members, _ = jaccard_join.JaccardJoin(docs).run()
+    folder = f"{common.shared_dir(spark)}/scholia-{spark.sparkContext.applicationId}".removeprefix("file:")
+    left = {name.rsplit("-", 1)[0] for name in os.listdir(folder)}
+    assert "sizes" in left and not left & {"entries", "listed", "shared", "sets", "pairs"}
+    assert sorted((r["doc_id"], r["component"]) for r in members.collect()) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 5)]
