@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholia.llm import tokens
+from scholia.llm.common import BATCH_BYTES, bounded_batches
 
 WINDOW, END = 2048, 1
 SHARD_BYTES, ROW_BYTES = 6_000_000, 100
@@ -120,10 +121,13 @@ def _pack_group(path: str, window: int, end: int):
     import pyarrow as pa
 
     def run(group: pa.Table) -> pa.Table:
-        enc, tail = tokens.encoder(path), end.to_bytes(4, "little")
+        enc, tail = tokens.encoder(path), np.array([end], "<u4")
         group = group.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         shard, ids = group["shard"][0].as_py(), group["doc_id"].to_pylist()
-        docs = [np.frombuffer(enc.encode(t.as_py() or "") + tail, dtype="<u4") for t in group["text"]]
+        texts = group["text"].combine_chunks()
+        del group
+        docs = [np.concatenate([d, tail]) for d in enc.encode_all(texts)]
+        del texts
         pieces = pack_shard(docs, window)
         cols = {
             "doc_id": pa.array([ids[d] for d, *_ in pieces], pa.int64()),
@@ -134,7 +138,8 @@ def _pack_group(path: str, window: int, end: int):
             "sequence_id": pa.array([(shard << 32) + p[3] for p in pieces], pa.int64()),
             "offset": pa.array([p[4] for p in pieces], pa.int64()),
         }
-        return pa.table(cols)
+        # in batches of bounded size, since the JVM holds each off its heap
+        return pa.Table.from_batches(pa.table(cols).to_batches(max_chunksize=max(1, BATCH_BYTES // (4 * window + ROW_BYTES))))
 
     return run
 
@@ -147,6 +152,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END,
     are not read. Sequences hold `window` ids but for the last one of a shard. The result depends on the
     rows alone: shards are hashes and are sorted before they are packed.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     # a row weighs something even without a text, so that a shard's rows are bounded too
     total = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES)).first()[0] or 0

@@ -1,8 +1,9 @@
-"""Exact ids of a public word-level BPE, with memoised white-space chunks.
+"""Exact ids of a public word-level BPE, with memoised pieces.
 
 The tokenizer's normaliser and pre-tokenizer never join text across ASCII white space, so a text's ids
 are its chunks' ids, concatenated. Chunks of plain Latin letters go straight to the merge model; all
-others, and texts that hold a special token's string, go through the whole tokenizer.
+others, and texts that hold a special token's string, go through the whole tokenizer. Arrow
+splits many texts at once, and each chunk that they hold is looked up once.
 """
 
 from __future__ import annotations
@@ -11,15 +12,15 @@ import re
 import struct
 import sys
 import types
-import unicodedata
 
-from scholia.llm.common import SPACE
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Chunks and pieces remembered by a worker, at most.
-REMEMBER = 400_000
-#: What str.split() takes for white space beyond the ASCII ones.
-_ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_SPACES = re.compile(f"[{SPACE}]+")
+#: Pieces remembered by a worker, at most (about 200 bytes each), as many odd chunks, and the characters of one.
+REMEMBER, SHORT = 250_000, 64
+#: Chunks whose ids are put together at once.
+AT_ONCE = 1 << 18
 
 
 def _byte_symbols() -> dict[int, str]:
@@ -40,45 +41,59 @@ class ChunkEncoder:
         self.specials = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.symbols = {b: s for b, s in _byte_symbols().items()}
         self.split = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
-        self.chunks: dict[str, bytes] = {}
+        self.odd: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        # its own normal form, also when it is lower-cased
         self.simple = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 
     def _piece(self, piece: str) -> bytes:
-        ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.symbols))]
-        out = _packed(ids)
-        if len(self.pieces) >= REMEMBER:
-            self.pieces.clear()
-        self.pieces[piece] = out
-        return out
+        # printable ASCII stands for itself
+        symbols = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.symbols)
+        return _remembered(self.pieces, piece, [t.id for t in self.model.tokenize(symbols)])
 
     def _chunk(self, chunk: str) -> bytes:
+        got = self.pieces.get
+        if chunk.isascii() and chunk.isalpha():
+            piece = chunk.lower()
+            return got(piece) or self._piece(piece)
         if self.simple.fullmatch(chunk):
-            got = self.pieces.get
-            out = b"".join([got(p) or self._piece(p) for p in self.split.findall(unicodedata.normalize("NFC", chunk).lower())])
-        else:
-            out = _packed(self.whole.encode(chunk, add_special_tokens=False).ids)
-        if len(self.chunks) >= REMEMBER:
-            self.chunks.clear()
-        self.chunks[chunk] = out
-        return out
-
-    def encode_chunks(self, text: str) -> tuple[list[str], list[bytes]] | None:
-        """Chunks and their ids; None where a special token's string stands in the text."""
-        if any(s in text for s in self.specials):
-            return None
-        words, got = text.split() if not _ODD.search(text) else _SPACES.split(text.strip(SPACE)), self.chunks.get
-        return words, [got(w) or self._chunk(w) for w in words]
+            return b"".join([got(p) or self._piece(p) for p in self.split.findall(chunk.lower())])
+        return self.odd.get(chunk) or _remembered(self.odd, chunk, self.whole.encode(chunk, add_special_tokens=False).ids)
+
+    def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; null is an empty one. Each chunk of all the texts is looked up once."""
+        special = pc.is_null(texts)
+        for s in self.specials:
+            special = pc.or_(special, pc.match_substring(pc.fill_null(texts, ""), s))
+        # they are empty among the others
+        lists = pc.ascii_split_whitespace(pc.if_else(special, "", texts))
+        at, words = lists.offsets.to_numpy(), lists.values.dictionary_encode()
+        index, bodies = words.indices.to_numpy(), [self._chunk(w) for w in words.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        del lists, words
+        flat, sizes = np.frombuffer(b"".join(bodies), dtype="<u4"), np.fromiter(map(len, bodies), np.int64, len(bodies)) // 4
+        starts, ends = np.cumsum(sizes) - sizes, np.concatenate([[0], np.cumsum(sizes[index])])
+        del bodies
+        out = np.empty(ends[-1], dtype="<u4")
+        for a in range(0, len(index), AT_ONCE):
+            own = index[a : a + AT_ONCE]
+            lo, hi = ends[a], ends[a + len(own)]
+            out[lo:hi] = flat[np.repeat(starts[own] - ends[a : a + len(own)], sizes[own]) + np.arange(lo, hi)]
+        got = np.split(out, ends[at[1:-1]]) if len(texts) else []
+        for k in np.flatnonzero(special.to_numpy(zero_copy_only=False)):
+            got[k] = np.array(self.whole.encode(texts[int(k)].as_py() or "", add_special_tokens=False).ids, dtype="<u4")
+        return got
 
     def encode(self, text: str) -> bytes:
-        both = self.encode_chunks(text)
-        if both is None:
-            return _packed(self.whole.encode(text, add_special_tokens=False).ids)
-        return b"".join(both[1])
+        return self.encode_all(pa.array([text]))[0].tobytes()
 
 
-def _packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+def _remembered(kept: dict[str, bytes], key: str, ids: list[int]) -> bytes:
+    out = struct.pack(f"<{len(ids)}I", *ids)
+    if len(key) <= SHORT:
+        if len(kept) >= REMEMBER:
+            kept.clear()
+        kept[key] = out
+    return out
 
 
 def encoder(path: str) -> ChunkEncoder:

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,6 +90,29 @@ def test_encoder_is_the_tokenizer(sf, spark):
         assert enc.encode(t) == np.array(enc.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_encoder_looks_up_each_chunk_once(monkeypatch):
+    path = tokenizer_path()
+    enc, asked = tokens.ChunkEncoder(path), []
+    texts = ["Don't stop 12,5 it's ÀÉÎÕÜ_ß...", None, "", "  \t\n", "a\x1cb c\x85d\xa0e\u2028f", "x<|endoftext|>y", "日本 “q” it's don't DON'T ΑΣ İ ẞ"] + ["the cat The CAT sat"] * 50
+    texts += ["".join(map(chr, range(256))), "".join(f"{chr(c)}x " for c in range(256)), "é" * 100_000]
+    chunk = tokens.ChunkEncoder._chunk
+    monkeypatch.setattr(tokens.ChunkEncoder, "_chunk", lambda self, c: asked.append(c) or chunk(self, c))
+    got = enc.encode_all(pa.array(texts))
+    assert [g.tolist() for g in got] == [enc.whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert len(asked) == len(set(asked)) and enc.encode_all(pa.array([], pa.string())) == []
+    # what a worker keeps is bounded in number and in length
+    assert max(map(len, enc.pieces)) <= tokens.SHORT
+    monkeypatch.setattr(tokens, "REMEMBER", 20)
+    enc.encode_all(pa.array([" ".join(f"{a}{b}" for a in "abcdefgh" for b in "ijklmnop日本")]))
+    assert len(enc.pieces) <= 20 and len(enc.odd) <= 20
+
+
+def test_pieces_come_in_bounded_batches():
+    group = pa.table({"doc_id": list(range(40)), "text": ["a b c d " * 20_000] * 40, "shard": [0] * 40})
+    out = packing._pack_group(tokenizer_path(), packing.WINDOW, packing.END)(group)
+    assert sum(out["length"].to_pylist()) == 40 * 80_001 and max(b.nbytes for b in out.to_batches()) < 5_000_000
+
+
 def check_packing(pieces, docs, path, window=packing.WINDOW):
     from tokenizers import Tokenizer
 
