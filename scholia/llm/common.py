@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import time
 import uuid
@@ -43,6 +45,15 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def hand_back() -> None:
+    """Gives memory that a Python worker has freed to the system: the worker stays beside what runs next, and Arrow and the C library keep it."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def scratch(df: DataFrame, name: str) -> DataFrame:
     """df written once as Parquet in the shared folder and read again: lineage ends in files that survive executors.
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,6 +55,7 @@ def water_fill(sizes: dict[str | None, int], weights: dict[str | None, int], epo
 
 
 _FACTS = "source string, source_size long, target double, whole int, twice long"
+_TYPES = {"source": pa.string(), "source_size": pa.int64(), "target": pa.float64(), "whole": pa.int32(), "twice": pa.int64()}
 
 
 def _few_facts(sums: DataFrame, weights: DataFrame | None, epochs: int) -> DataFrame:
@@ -67,7 +69,9 @@ def _few_facts(sums: DataFrame, weights: DataFrame | None, epochs: int) -> DataF
         need = t - whole * n  # words of the fractional repetition
         # a document is in it if before + upto <= 2 * need, in integers: so the last one is rounded, not cut
         facts.append((s, n, t.numerator / t.denominator, whole, int(2 * need // 1)))
-    return sums.sparkSession.createDataFrame(facts, _FACTS)
+    # an Arrow table: rows of a Python list are turned by Python workers of another kind, whose daemon stays in each executor
+    columns = [list(c) for c in zip(*facts, strict=True)] or [[] for _ in _TYPES]
+    return sums.sparkSession.createDataFrame(pa.table(dict(zip(_TYPES, map(pa.array, columns, _TYPES.values()), strict=True))), _FACTS)
 
 
 def _many_facts(sums: DataFrame, weights: DataFrame | None, epochs: int) -> DataFrame:

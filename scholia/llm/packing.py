@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholia.llm import tokens
-from scholia.llm.common import BATCH_BYTES, bounded_batches
+from scholia.llm.common import BATCH_BYTES, bounded_batches, hand_back
 
 WINDOW, END = 2048, 1
 SHARD_BYTES, ROW_BYTES = 6_000_000, 100
@@ -138,6 +138,8 @@ def _pack_group(path: str, window: int, end: int):
             "sequence_id": pa.array([(shard << 32) + p[3] for p in pieces], pa.int64()),
             "offset": pa.array([p[4] for p in pieces], pa.int64()),
         }
+        del docs
+        hand_back()
         # in batches of bounded size, since the JVM holds each off its heap
         return pa.Table.from_batches(pa.table(cols).to_batches(max_chunksize=max(1, BATCH_BYTES // (4 * window + ROW_BYTES))))
 

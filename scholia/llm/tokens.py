@@ -19,8 +19,8 @@ import pyarrow.compute as pc
 
 #: Pieces remembered by a worker, at most (about 200 bytes each), as many odd chunks, and the characters of one.
 REMEMBER, SHORT = 250_000, 64
-#: Chunks whose ids are put together at once.
-AT_ONCE = 1 << 18
+#: Bytes of texts that are split at once.
+AT_ONCE = 1 << 20
 
 
 def _byte_symbols() -> dict[int, str]:
@@ -61,7 +61,12 @@ class ChunkEncoder:
         return self.odd.get(chunk) or _remembered(self.odd, chunk, self.whole.encode(chunk, add_special_tokens=False).ids)
 
     def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
-        """The ids of each text; null is an empty one. Each chunk of all the texts is looked up once."""
+        """The ids of each text; null is an empty one. Texts are taken in parts of about AT_ONCE bytes, each chunk of a part is looked up once."""
+        part = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64)) // AT_ONCE
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+        return [ids for a, b in zip(cuts[:-1], cuts[1:], strict=True) for ids in self._encode_part(texts[a:b])]
+
+    def _encode_part(self, texts: pa.Array) -> list[np.ndarray]:
         special = pc.is_null(texts)
         for s in self.specials:
             special = pc.or_(special, pc.match_substring(pc.fill_null(texts, ""), s))
@@ -73,11 +78,7 @@ class ChunkEncoder:
         flat, sizes = np.frombuffer(b"".join(bodies), dtype="<u4"), np.fromiter(map(len, bodies), np.int64, len(bodies)) // 4
         starts, ends = np.cumsum(sizes) - sizes, np.concatenate([[0], np.cumsum(sizes[index])])
         del bodies
-        out = np.empty(ends[-1], dtype="<u4")
-        for a in range(0, len(index), AT_ONCE):
-            own = index[a : a + AT_ONCE]
-            lo, hi = ends[a], ends[a + len(own)]
-            out[lo:hi] = flat[np.repeat(starts[own] - ends[a : a + len(own)], sizes[own]) + np.arange(lo, hi)]
+        out = flat[np.repeat(starts[index] - ends[:-1], sizes[index]) + np.arange(ends[-1])]
         got = np.split(out, ends[at[1:-1]]) if len(texts) else []
         for k in np.flatnonzero(special.to_numpy(zero_copy_only=False)):
             got[k] = np.array(self.whole.encode(texts[int(k)].as_py() or "", add_special_tokens=False).ids, dtype="<u4")

@@ -218,3 +218,10 @@ def test_url_model_learns_its_table():
     rows = url_filter.labelled_urls()
     right = sum(((sum(w[url_filter._bucket(g)] for g in url_filter._grams(h, p)) + b * len(url_filter._grams(h, p))) > 0) == bool(y) for h, p, y in rows)
     assert right >= 0.95 * len(rows)
+
+
+def test_facts_of_sources_start_no_python_worker(spark):
+    for rows in ([("b", 5), (None, 3), ("a", 0)], []):
+        facts = mixing._few_facts(spark.createDataFrame(rows, "source string, source_size long"), None, 3)
+        assert "ExistingRDD" not in facts._jdf.queryExecution().toString()
+        assert sorted(map(str, facts.select("source", "source_size").collect())) == sorted(f"Row(source={s!r}, source_size={n})" for s, n in rows)
